@@ -131,8 +131,9 @@ def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _signal(cents: Column, n: Column) -> Column:
+    """Days on a 1/64 grid, so that sums and means are exact in any order."""
     day = F.dayofmonth("prediction_date")
-    return F.round(F.lit(25.0) - day + (cents / (n * 100.0) - 50.0) / 10.0, 6)
+    return F.floor((F.lit(25.0) - day + (cents / (n * 100.0) - 50.0) / 10.0) * 64.0) / 64.0
 
 
 def _finish(df: DataFrame, spark: SparkSession, sf: str) -> DataFrame:

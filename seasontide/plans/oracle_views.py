@@ -143,8 +143,8 @@ VIEWS = {
         FROM events WHERE event_type <> 'error'""",
     "sig": """
         SELECT user_id, stage_id, prediction_date,
-               round(25.0::DOUBLE - day(prediction_date)
-                     + (sum(cents) / (count(*) * 100.0::DOUBLE) - 50.0::DOUBLE) / 10.0::DOUBLE, 6) AS raw_signed_days
+               floor((25.0::DOUBLE - day(prediction_date)
+                     + (sum(cents) / (count(*) * 100.0::DOUBLE) - 50.0::DOUBLE) / 10.0::DOUBLE) * 64.0::DOUBLE) / 64.0::DOUBLE AS raw_signed_days
         FROM ev GROUP BY user_id, stage_id, prediction_date""",
     "trajectory": """
         SELECT CAST(user_id AS VARCHAR) AS location_id,
@@ -163,10 +163,10 @@ VIEWS = {
                -90.0::DOUBLE + (user_id % (SELECT n FROM nplaces) * 13 % 200) / 10.0::DOUBLE AS longitude,
                prediction_date, CAST(year(prediction_date) AS INTEGER) AS trajectory_year,
                raw AS raw_signed_days, greatest(raw, 0.0::DOUBLE) AS predicted_days
-        FROM (SELECT *, round(25.0::DOUBLE - day(prediction_date)
-                     + (cents / 100.0::DOUBLE - 50.0::DOUBLE) / 10.0::DOUBLE, 6) AS raw FROM ev)""",
+        FROM (SELECT *, floor((25.0::DOUBLE - day(prediction_date)
+                     + (cents / 100.0::DOUBLE - 50.0::DOUBLE) / 10.0::DOUBLE) * 64.0::DOUBLE) / 64.0::DOUBLE AS raw FROM ev)""",
     "detail": """
-        SELECT * EXCLUDE (raw_signed_days, predicted_days, predicted_stage_date),
+        SELECT * EXCLUDE (raw_signed_days, predicted_days, predicted_stage_date, v, d),
                2024 AS test_year, v AS model_version,
                raw_signed_days + d AS raw_signed_days,
                greatest(raw_signed_days + d, 0.0::DOUBLE) AS predicted_days,
