@@ -101,16 +101,32 @@ def attach_locations(df: DataFrame, mapping: DataFrame) -> DataFrame:
     return df.drop("location_id").join(pairs, "place_id")
 
 
+def season_slice(weather: DataFrame, start: str, end: str, cfg: Settings = Settings()) -> DataFrame:
+    """Raw days needed for features of [start, end]: from the first season's start on.
+
+    Season totals cannot be pruned by date once they are windows, so the raw scan
+    is pruned instead.
+    """
+    month, day = cfg.season_start
+    first = F.lit(start).cast("date")
+    season_start = F.make_date(S.pest_year(first, month, day), F.lit(month), F.lit(day))
+    return weather.where(F.col("date").between(season_start, F.lit(end).cast("date")))
+
+
 def engineer_features(
     weather: DataFrame,
     cfg: Settings = Settings(),
     mode: str = "predict",
     mapping: DataFrame | None = None,
+    dates: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Daily feature table; one shuffle by (pest_year, place) serves every window.
 
     ``train`` keeps only rows of mapped locations, ``predict`` keeps every place.
+    ``dates`` limits the scan to the seasons of that range.
     """
+    if dates is not None:
+        weather = season_slice(weather, *dates, cfg)
     df = add_calendar(
         add_degree_days(add_temperatures(unify_coords(weather)), cfg.degree_base_f),
         cfg.season_start,

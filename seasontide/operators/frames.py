@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasontide.config import TARGET_IDS, Settings
@@ -27,40 +27,46 @@ def season_events(events: DataFrame) -> DataFrame:
     )
 
 
-def forward_asof(
-    weather: DataFrame, events: DataFrame, stages: Sequence[int] = (1, 2, 3, 4, 5)
-) -> DataFrame:
-    """Each weather day with the next event of each stage in its location and season.
+def events_by_season(events: DataFrame, stages: Sequence[int]) -> DataFrame:
+    """One row per (location, season) with its distinct events in one array.
 
-    The distinct event dates of a (location, season) fit in one small array (at
-    most five stages times 366 days), so the join does not multiply weather rows
-    and a hot location can be split by AQE; the next event is picked inside the row.
-    Days without a later event are dropped.
+    The array is bounded by the calendar: at most 366 dates per stage, however
+    many copies of an event arrive (copies are removed by a partial aggregate).
     """
     keyed = season_events(events).where(F.col("stage_id").isin(list(stages)))
     distinct = keyed.groupBy("location_id", "pest_year", "stage_id", "stage_date").agg(
-        F.min_by(
-            F.struct("day_of_year", "event_latitude", "event_longitude"),
-            F.struct("event_latitude", "event_longitude"),
-        ).alias("e")
+        F.min(F.struct("event_latitude", "event_longitude", "day_of_year")).alias("e")
     )
-    by_season = distinct.groupBy("location_id", "pest_year").agg(
+    return distinct.groupBy("location_id", "pest_year").agg(
         F.collect_list(
-            F.struct("stage_id", "stage_date", "e.day_of_year", "e.event_latitude", "e.event_longitude")
+            F.struct(
+                "stage_id", "stage_date", "e.day_of_year", "e.event_latitude", "e.event_longitude"
+            )
         ).alias("_events")
     )
-    day = F.col("date").cast("timestamp_ntz")
 
-    def next_event(stage: int):
-        later = F.filter(
-            "_events", lambda e: (e["stage_id"] == stage) & (e["stage_date"] >= day)
-        )
-        return F.array_min(later)
 
-    upcoming = F.array_compact(F.array(*[next_event(s) for s in stages]))
+def _first_event(stage: int, condition) -> Column:
+    """Earliest event of a stage in the row's array that meets the condition."""
+    return F.array_min(
+        F.filter("_events", lambda e: (e["stage_id"] == stage) & condition(e["stage_date"]))
+    )
+
+
+def forward_asof(
+    weather: DataFrame, events: DataFrame, stages: Sequence[int] = (1, 2, 3, 4, 5)
+) -> DataFrame:
+    """Each weather day with the next event of each stage in its location and season.
+
+    The join adds one small array per weather row and does not multiply rows, so
+    AQE can split a hot location; the next event is picked inside the row.
+    Days without a later event are dropped.
+    """
+    day = F.col("date").cast("timestamp_ntz")
+    upcoming = [_first_event(s, lambda at: at >= day) for s in stages]
     return (
-        weather.join(by_season, ["location_id", "pest_year"])
-        .withColumn("_next", F.explode(upcoming))
+        weather.join(events_by_season(events, stages), ["location_id", "pest_year"])
+        .withColumn("_next", F.explode(F.array_compact(F.array(*upcoming))))
         .select(*weather.columns, "_next.*")
     )
 
@@ -142,6 +148,59 @@ def augment(base: DataFrame, post: DataFrame) -> DataFrame:
     return keep_first(both, TRAINING_KEYS, ["_rank", "stage_date"]).drop("_rank")
 
 
+def label_days(
+    weather: DataFrame,
+    events: DataFrame,
+    horizon: int,
+    in_window: Column,
+    stages: Sequence[int] = (1, 2, 3, 4, 5),
+) -> DataFrame:
+    """``augment`` of the as-of rows and the post-event rows, in one pass over the weather.
+
+    Per row and stage, an event of the last ``horizon`` days wins over the next
+    one, so nothing is joined twice and no shuffle is needed to drop the loser.
+    Needs one weather row per (date, location).
+    """
+    date = F.col("date")
+    day = date.cast("timestamp_ntz")
+
+    def label(stage: int) -> Column:
+        past = _first_event(
+            stage, lambda at: (at <= day) & (date <= F.date_add(F.to_date(at), horizon))
+        )
+        ahead = F.when(in_window, _first_event(stage, lambda at: at >= day))
+        if horizon <= 0:
+            return F.when(ahead.isNotNull(), F.struct(F.lit(False).alias("past"), ahead.alias("e")))
+        return F.when(
+            past.isNotNull(), F.struct(F.lit(True).alias("past"), past.alias("e"))
+        ).when(ahead.isNotNull(), F.struct(F.lit(False).alias("past"), ahead.alias("e")))
+
+    picked = F.array_compact(F.array(*[label(s) for s in stages]))
+    kept = [c for c in weather.columns if c not in ("latitude", "longitude")]
+    past = F.col("_l.past")
+    counted = -S.floor_days(date, F.col("_l.e.stage_date"))
+    signed = F.when(past, counted).otherwise(F.col("_l.e.day_of_year") - F.dayofyear(date))
+
+    def coordinate(name: str) -> Column:
+        own, event = F.col(name), F.col(f"_l.e.event_{name}")
+        return F.when(past, F.coalesce(own, event)).otherwise(event).alias(name)
+
+    return (
+        weather.join(events_by_season(events, stages), ["location_id", "pest_year"])
+        .withColumn("_l", F.explode(picked))
+        .select(
+            *kept,
+            coordinate("latitude"),
+            coordinate("longitude"),
+            F.col("_l.e.stage_id").alias("stage_id"),
+            F.col("_l.e.stage_date").alias("stage_date"),
+            F.col("_l.e.day_of_year").alias("day_of_year"),
+            signed.alias("signed_days_to_event"),
+            F.greatest(F.when(past, F.lit(0)).otherwise(signed), F.lit(0)).alias("days_to_event"),
+        )
+    )
+
+
 def training_matrix(
     events: DataFrame,
     weather: DataFrame,
@@ -152,22 +211,21 @@ def training_matrix(
 ) -> DataFrame:
     """Labelled daily rows before the test date, without NULL target or features.
 
-    The date window is applied to the weather first, so it reaches the scan.
+    As-of rows respect the training window; post-event rows only its end.
     """
     features = list(features or cfg.features)
-
-    def window(df: DataFrame) -> DataFrame:
-        return training_window(
-            df, test_date, cfg.window_years, include_test_date, cfg.legacy_start
-        )
-
-    base = signed_target(coalesce_coords(forward_asof(window(weather), events)))
+    if cfg.window_years is not None and cfg.window_years <= 0:
+        raise ValueError("window years must be positive")
     test = F.lit(test_date).cast("date")
-    known = weather.where(
-        F.col("date") <= test if include_test_date else F.col("date") < test
+    start = (
+        F.lit(cfg.legacy_start).cast("date")
+        if cfg.window_years is None
+        else S.years_before(test_date, cfg.window_years)
     )
-    post = post_event_rows(known, events, cfg.post_event_days)
-    return augment(base, post).dropna(subset=list(dict.fromkeys([cfg.target, *features])))
+    date = F.col("date")
+    known = weather.where(date <= test if include_test_date else date < test)
+    labelled = label_days(known, events, cfg.post_event_days, date >= start)
+    return labelled.dropna(subset=list(dict.fromkeys([cfg.target, *features])))
 
 
 def training_matrix_local(

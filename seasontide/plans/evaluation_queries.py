@@ -458,7 +458,8 @@ def _(spark, sf):
 def _(spark, sf):
     from seasontide.operators.frames import add_stages
 
-    days = located(spark, sf).where("date BETWEEN DATE'1998-02-01' AND DATE'1998-06-30'")
+    season = located(spark, sf, ("1998-02-01", "1998-06-30"))
+    days = season.where("date BETWEEN DATE'1998-02-01' AND DATE'1998-06-30'")
     predictions = add_stages(days, (1, 4)).select(
         "location_id",
         "stage_id",

@@ -17,13 +17,18 @@ MATRIX_FEATURES = ("cumu_gdd_air", "rolling_gdd_air")
 KEYS = "date location_id pest_year stage_id".split()
 
 
-def features(spark, sf):
-    return D.engineer_features(A.weather_daily(spark, sf))
+def steady(name):
+    """Rounded to 3 digits; the small shift keeps exact ties off the rounding edge."""
+    return F.round(F.col(name) + 0.0002, 3) + 0.0
 
 
-def located(spark, sf):
+def features(spark, sf, dates=None):
+    return D.engineer_features(A.weather_daily(spark, sf), dates=dates)
+
+
+def located(spark, sf, dates=None):
     return D.engineer_features(
-        A.weather_daily(spark, sf), mode="train", mapping=A.locations(spark, sf)
+        A.weather_daily(spark, sf), mode="train", mapping=A.locations(spark, sf), dates=dates
     )
 
 
@@ -328,7 +333,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return E.expand_stages(
-        features(spark, sf), "1998-04-01", "1998-05-31", features=("stage_id", "doy", "cumu_gdd_air")
+        features(spark, sf, ("1998-04-01", "1998-05-31")),
+        "1998-04-01",
+        "1998-05-31",
+        features=("stage_id", "doy", "cumu_gdd_air")
     )
 
 
@@ -340,7 +348,9 @@ def _(spark, sf):
          AND location_id IN (SELECT location_id FROM prepared WHERE year = 1998)""",
 )
 def _(spark, sf):
-    frame = E.build_trajectory(located(spark, sf), prepared(spark, sf), 1998)
+    frame = E.build_trajectory(
+        located(spark, sf, ("1998-01-01", "1998-06-30")), prepared(spark, sf), 1998
+    )
     return frame.select("location_id", "date", "stage_id", "doy")
 
 
@@ -429,16 +439,16 @@ def _(spark, sf):
 @query(
     "linear_crossing",
     "G6",
-    """SELECT location_id, stage_id, prediction_date, round(crossing_0, 3) + 0.0 AS crossing_0,
-              round(crossing_m05, 3) + 0.0 AS crossing_m05 FROM crossed""",
+    """SELECT location_id, stage_id, prediction_date, round(crossing_0 + 0.0002::DOUBLE, 3) + 0.0 AS crossing_0,
+              round(crossing_m05 + 0.0002::DOUBLE, 3) + 0.0 AS crossing_m05 FROM crossed""",
 )
 def _(spark, sf):
     frame = G.linear_crossing(signal(spark, sf), 0.0, "crossing_0")
     frame = G.linear_crossing(frame, -0.5, "crossing_m05")
     return frame.select(
         *TRACK,
-        (F.round("crossing_0", 3) + 0.0).alias("crossing_0"),
-        (F.round("crossing_m05", 3) + 0.0).alias("crossing_m05"),
+        steady("crossing_0").alias("crossing_0"),
+        steady("crossing_m05").alias("crossing_m05"),
     )
 
 
@@ -470,14 +480,14 @@ def _(spark, sf):
 @query(
     "days_to_crossing",
     "G9",
-    """SELECT location_id, stage_id, prediction_date, round(crossing_0 - pdoy, 3) + 0.0 AS days_to_rolling_crossing_0 FROM crossed""",
+    """SELECT location_id, stage_id, prediction_date, round(crossing_0 - pdoy + 0.0002::DOUBLE, 3) + 0.0 AS days_to_rolling_crossing_0 FROM crossed""",
 )
 def _(spark, sf):
     frame = signal(spark, sf)
     for tag, threshold in G.CROSSINGS:
         frame = G.linear_crossing(frame, threshold, f"rolling_linear_crossing_{tag}")
         frame = G.spline_crossing(frame, f"rolling_spline_crossing_{tag}")
-    days = F.round("days_to_rolling_crossing_0", 3) + 0.0
+    days = steady("days_to_rolling_crossing_0")
     return G.days_to_crossing(frame).select(*TRACK, days.alias("days_to_rolling_crossing_0"))
 
 
@@ -485,8 +495,8 @@ def _(spark, sf):
     "termination_features",
     "G10",
     """SELECT l.location_id, l.stage_id, l.prediction_date, l.signal_lag3, l.signal - l.signal_lag1 AS slope_1,
-              c.pdoy AS prediction_day_of_year, round(c.crossing_m05, 3) + 0.0 AS crossing_m05,
-              round(c.crossing_0 - c.pdoy, 3) + 0.0 AS days_0
+              c.pdoy AS prediction_day_of_year, round(c.crossing_m05 + 0.0002::DOUBLE, 3) + 0.0 AS crossing_m05,
+              round(c.crossing_0 - c.pdoy + 0.0002::DOUBLE, 3) + 0.0 AS days_0
        FROM lagged l JOIN crossed c USING (trajectory_year, location_id, stage_id, prediction_date)""",
     rounds="slope_1",
 )
@@ -496,8 +506,8 @@ def _(spark, sf):
         "signal_lag3",
         "slope_1",
         "prediction_day_of_year",
-        (F.round("rolling_linear_crossing_minus_0_5", 3) + 0.0).alias("crossing_m05"),
-        (F.round("days_to_rolling_crossing_0", 3) + 0.0).alias("days_0"),
+        steady("rolling_linear_crossing_minus_0_5").alias("crossing_m05"),
+        steady("days_to_rolling_crossing_0").alias("days_0"),
     )
 
 

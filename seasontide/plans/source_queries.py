@@ -130,10 +130,11 @@ def _(spark, sf):
     "missing_landed_days",
     "A6",
     """SELECT CAST(d AS DATE) AS date FROM range(DATE '1997-01-01', DATE '2000-01-01', INTERVAL 1 DAY) t(d)
-       WHERE CAST(d AS DATE) NOT IN (SELECT date FROM weather_daily)""",
+       WHERE CAST(d AS DATE) NOT IN (SELECT CAST(stage_date AS DATE) FROM canon WHERE stage_id = 1)""",
 )
 def _(spark, sf):
-    return K.missing_days(A.weather_daily(spark, sf).select("date"), "1997-01-01", "1999-12-31")
+    seen = canonical(spark, sf).where("stage_id = 1").select(F.to_date("stage_date").alias("date"))
+    return K.missing_days(seen, "1997-01-01", "1999-12-31")
 
 
 @query(
@@ -147,7 +148,7 @@ def _(spark, sf):
     from seasontide.plans.feature_queries import features
 
     return R.scan_features(
-        features(spark, sf),
+        features(spark, sf, ("1998-03-01", "1998-06-30")),
         ["place_id", "date", "cumu_gdd_air", "doy", "not_there"],
         "1998-03-01",
         "1998-06-30",
