@@ -28,7 +28,7 @@ CURATED_EVENTS = (
 )
 
 
-def _lookup(key: Column, table: dict[int, object]) -> Column:
+def _lookup(key: Column, table: dict) -> Column:
     """Chained ``when`` over a small fixed table; NULL when absent."""
     value = F.lit(None)
     for k, v in table.items():
@@ -38,12 +38,13 @@ def _lookup(key: Column, table: dict[int, object]) -> Column:
 
 def drop_placeholders(df: DataFrame, day: str = "12-31") -> DataFrame:
     """Drop rows dated on the placeholder month-day; undated rows stay."""
-    return df.where(F.coalesce(S.month_day(F.col("stage_date")) != day, F.lit(True)))
+    month, dom = (int(x) for x in day.split("-"))
+    at = F.col("stage_date")
+    return df.where(at.isNull() | (F.month(at) != month) | (F.dayofmonth(at) != dom))
 
 
 def canonicalize_events(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Rewrite ``stage_id`` as the stable target id and record where the label came from."""
-    label = S.normalize_label(F.col("stage_name"))
     rules = {
         "stage 1": (1, "observed_stage1"),
         "stage 2": (2, "observed_stage2"),
@@ -53,28 +54,30 @@ def canonicalize_events(df: DataFrame, cfg: Settings = Settings()) -> DataFrame:
         rules["phase 2"] = (3, "observed_phase2_as_stage3")
     if cfg.observed_phase1:
         rules["phase 1"] = (4, "observed_phase1")
-    target, source = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for name, (target_id, source_name) in rules.items():
-        target = F.when(label == name, F.lit(target_id)).otherwise(target)
-        source = F.when(label == name, F.lit(source_name)).otherwise(source)
+    known = drop_placeholders(df, cfg.placeholder_month_day) if cfg.exclude_placeholders else df
     raw_id = F.col("stage_id") if "stage_id" in df.columns else F.lit(None).cast("int")
-    out = (
-        df.withColumns(
+    label, target = F.col("_label"), F.col("canonical_event_id")
+    # the label is normalised once; later projections read the column
+    return (
+        known.withColumn("_label", S.normalize_label(F.col("stage_name")))
+        .where(label.isin(list(rules)))
+        .withColumns(
             {
                 "stage_name_raw": F.col("stage_name"),
                 "raw_stage_id": raw_id,
-                "label_source": source,
-                "canonical_event_id": target,
+                "label_source": _lookup(label, {k: v[1] for k, v in rules.items()}),
+                "canonical_event_id": _lookup(label, {k: v[0] for k, v in rules.items()}),
             }
         )
-        .where(F.col("canonical_event_id").isNotNull())
-        .withColumn("stage_id", F.col("canonical_event_id"))
-        .withColumn(
-            "canonical_event_name", _lookup(F.col("canonical_event_id"), TARGET_NAMES)
+        .withColumns(
+            {
+                "stage_id": target,
+                "canonical_event_name": _lookup(target, TARGET_NAMES),
+                "stage_name": _lookup(target, TARGET_NAMES),
+            }
         )
-        .withColumn("stage_name", F.col("canonical_event_name"))
+        .drop("_label")
     )
-    return drop_placeholders(out, cfg.placeholder_month_day) if cfg.exclude_placeholders else out
 
 
 def legacy_stage(df: DataFrame) -> DataFrame:

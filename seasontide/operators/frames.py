@@ -27,30 +27,31 @@ def season_events(events: DataFrame) -> DataFrame:
     )
 
 
-def events_by_season(events: DataFrame, stages: Sequence[int]) -> DataFrame:
-    """One row per (location, season) with its distinct events in one array.
+def events_by_stage(events: DataFrame, stages: Sequence[int], horizon: int = 0) -> DataFrame:
+    """One row per (location, season, stage) with its distinct events in one array.
 
-    The array is bounded by the calendar: at most 366 dates per stage, however
-    many copies of an event arrive (copies are removed by a partial aggregate).
+    The array is bounded by the calendar (366 dates), and copies of an event are
+    removed by a partial aggregate before anything is gathered.
     """
     keyed = season_events(events).where(F.col("stage_id").isin(list(stages)))
     distinct = keyed.groupBy("location_id", "pest_year", "stage_id", "stage_date").agg(
         F.min(F.struct("event_latitude", "event_longitude", "day_of_year")).alias("e")
     )
-    return distinct.groupBy("location_id", "pest_year").agg(
-        F.collect_list(
-            F.struct(
-                "stage_id", "stage_date", "e.day_of_year", "e.event_latitude", "e.event_longitude"
-            )
-        ).alias("_events")
+    event = F.struct(
+        "stage_date",
+        "e.day_of_year",
+        "e.event_latitude",
+        "e.event_longitude",
+        F.date_add(F.to_date("stage_date"), horizon).alias("last_day"),
+    )
+    return distinct.groupBy("location_id", "pest_year", "stage_id").agg(
+        F.collect_list(event).alias("_events")
     )
 
 
-def _first_event(stage: int, condition) -> Column:
-    """Earliest event of a stage in the row's array that meets the condition."""
-    return F.array_min(
-        F.filter("_events", lambda e: (e["stage_id"] == stage) & condition(e["stage_date"]))
-    )
+def _first_event(condition) -> Column:
+    """Earliest event of the row's array that meets the condition."""
+    return F.array_min(F.filter("_events", condition))
 
 
 def forward_asof(
@@ -58,16 +59,17 @@ def forward_asof(
 ) -> DataFrame:
     """Each weather day with the next event of each stage in its location and season.
 
-    The join adds one small array per weather row and does not multiply rows, so
-    AQE can split a hot location; the next event is picked inside the row.
-    Days without a later event are dropped.
+    The join yields one row per weather day and stage, the size of the result,
+    and never one per candidate event; AQE can split a hot location.  The next
+    event is picked inside the row.  Days without a later event are dropped.
     """
     day = F.col("date").cast("timestamp_ntz")
-    upcoming = [_first_event(s, lambda at: at >= day) for s in stages]
     return (
-        weather.join(events_by_season(events, stages), ["location_id", "pest_year"])
-        .withColumn("_next", F.explode(F.array_compact(F.array(*upcoming))))
-        .select(*weather.columns, "_next.*")
+        weather.join(events_by_stage(events, stages), ["location_id", "pest_year"])
+        .withColumn("_next", _first_event(lambda e: e["stage_date"] >= day))
+        .where("_next IS NOT NULL")
+        .select(*weather.columns, "stage_id", "_next.*")
+        .drop("last_day")
     )
 
 
@@ -163,40 +165,36 @@ def label_days(
     """
     date = F.col("date")
     day = date.cast("timestamp_ntz")
-
-    def label(stage: int) -> Column:
-        past = _first_event(
-            stage, lambda at: (at <= day) & (date <= F.date_add(F.to_date(at), horizon))
-        )
-        ahead = F.when(in_window, _first_event(stage, lambda at: at >= day))
-        if horizon <= 0:
-            return F.when(ahead.isNotNull(), F.struct(F.lit(False).alias("past"), ahead.alias("e")))
-        return F.when(
-            past.isNotNull(), F.struct(F.lit(True).alias("past"), past.alias("e"))
-        ).when(ahead.isNotNull(), F.struct(F.lit(False).alias("past"), ahead.alias("e")))
-
-    picked = F.array_compact(F.array(*[label(s) for s in stages]))
+    recent = _first_event(lambda e: (e["stage_date"] <= day) & (date <= e["last_day"]))
+    past = F.when(F.lit(horizon > 0), recent)
+    ahead = F.when(in_window, _first_event(lambda e: e["stage_date"] >= day))
     kept = [c for c in weather.columns if c not in ("latitude", "longitude")]
-    past = F.col("_l.past")
-    counted = -S.floor_days(date, F.col("_l.e.stage_date"))
-    signed = F.when(past, counted).otherwise(F.col("_l.e.day_of_year") - F.dayofyear(date))
+    after = F.col("_after")
+    signed = F.when(after, -S.floor_days(date, F.col("_e.stage_date"))).otherwise(
+        F.col("_e.day_of_year") - F.dayofyear(date)
+    )
 
     def coordinate(name: str) -> Column:
-        own, event = F.col(name), F.col(f"_l.e.event_{name}")
-        return F.when(past, F.coalesce(own, event)).otherwise(event).alias(name)
+        own, event = F.col(name), F.col(f"_e.event_{name}")
+        return F.when(after, F.coalesce(own, event)).otherwise(event).alias(name)
 
     return (
-        weather.join(events_by_season(events, stages), ["location_id", "pest_year"])
-        .withColumn("_l", F.explode(picked))
+        weather.join(events_by_stage(events, stages, horizon), ["location_id", "pest_year"])
+        .withColumns({"_past": past, "_ahead": ahead})
+        .withColumns(
+            {"_after": F.col("_past").isNotNull(), "_e": F.coalesce("_past", "_ahead")}
+        )
+        .where("_e IS NOT NULL")
+        .withColumn("_signed", signed)
         .select(
             *kept,
             coordinate("latitude"),
             coordinate("longitude"),
-            F.col("_l.e.stage_id").alias("stage_id"),
-            F.col("_l.e.stage_date").alias("stage_date"),
-            F.col("_l.e.day_of_year").alias("day_of_year"),
-            signed.alias("signed_days_to_event"),
-            F.greatest(F.when(past, F.lit(0)).otherwise(signed), F.lit(0)).alias("days_to_event"),
+            "stage_id",
+            F.col("_e.stage_date").alias("stage_date"),
+            F.col("_e.day_of_year").alias("day_of_year"),
+            F.col("_signed").alias("signed_days_to_event"),
+            F.when(after, 0).otherwise(F.greatest("_signed", F.lit(0))).alias("days_to_event"),
         )
     )
 
