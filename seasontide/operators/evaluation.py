@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seasontide.functions import scalars as S
 from seasontide.functions.ordering import first_n, keep_first
-from seasontide.functions.quantiles import with_percentiles
+from seasontide.functions.quantiles import exact_percentiles, with_percentiles
 
 TRACK = ("model_version", "test_year", "location_id", "stage_id")
 WINDOW = ("event_year", "stage_id", "location_id", "stage_date")
@@ -455,24 +455,20 @@ def non_terminated(detail: DataFrame, threshold: float = 0.0) -> DataFrame:
 
 
 def focus_summary(detail: DataFrame, focus: Sequence[int] = (-1, 0, 1)) -> DataFrame:
-    """One row: size, extremes, medians and termination counts, overall and near the event."""
-    key = ["event_year", "location_id", "stage_date"]
+    """One row: size, extremes, medians and termination counts, overall and near the event.
+
+    The medians are scalar subqueries of the one-row summary.
+    """
     near = F.col("days_from_event").isin(list(focus))
     hit = F.coalesce(F.col("predicted_days") <= 0, F.lit(False))
-    tagged = detail.withColumns(
-        {
-            "_all": F.lit("all"),
-            "_focus_error": F.when(near, F.col("abs_error_days")),
-        }
-    )
-    windows = tagged.groupBy("_all", *key).agg(
+    windows = detail.groupBy("event_year", "location_id", "stage_date").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("predicted_days").alias("_min"),
         F.max("predicted_days").alias("_max"),
         F.bool_or(hit).alias("_hit"),
         F.bool_or(hit & near).alias("_focus_hit"),
     )
-    summary = windows.groupBy("_all").agg(
+    summary = windows.agg(
         F.sum("_n").alias("n_rows"),
         F.countDistinct("location_id").alias("n_locations"),
         F.count(F.lit(1)).alias("n_windows"),
@@ -481,14 +477,17 @@ def focus_summary(detail: DataFrame, focus: Sequence[int] = (-1, 0, 1)) -> DataF
         F.count_if("_hit").alias("terminated_windows"),
         F.count_if("_focus_hit").alias("focus_terminated_windows"),
     )
-    summary = with_percentiles(
-        summary, windows, ["_all"], {"median_window_min": ("_min", 0.5)}
-    )
-    errors = tagged.groupBy("_all").agg(
-        day_percentile(F.col("abs_error_days"), 0.5).alias("median_abs_error_days"),
-        day_percentile(F.col("_focus_error"), 0.5).alias("focus_median_abs_error_days"),
+
+    def median_error(rows: DataFrame) -> Column:
+        return rows.agg(day_percentile(F.col("abs_error_days"), 0.5)).scalar()
+
+    return summary.withColumns(
+        {
+            "median_window_min": exact_percentiles(windows, [], {"m": ("_min", 0.5)}).scalar(),
+            "median_abs_error_days": median_error(detail),
+            "focus_median_abs_error_days": median_error(detail.where(near)),
+        }
     )
-    return summary.join(errors, "_all").drop("_all")
 
 
 def outlier_summary(detail: DataFrame) -> DataFrame:
