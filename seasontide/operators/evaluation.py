@@ -3,6 +3,9 @@
 Medians of whole-day errors use ``percentile``: its buffer is a histogram of day
 values, a few hundred entries whatever the group size.  Medians of fractional
 values use ``exact_percentiles``, which never holds a group in one task.
+
+Trajectory windows expect one row per prediction date (``collapse_predictions``),
+so a window group is one season at most.
 """
 
 from __future__ import annotations
@@ -557,8 +560,9 @@ def bin_heatmap(detail: DataFrame, offsets: Sequence[int]) -> DataFrame:
 def non_converged(detail: DataFrame, events: DataFrame, features: DataFrame) -> DataFrame:
     """Windows that never reached zero, with the location's other years and event-day features.
 
-    History excludes the window's own year: the location's per-year histograms
-    are joined, at most one row per year, instead of its events.
+    History excludes the window's own year: the location's histogram of event
+    days (one row per year and day, bounded by the calendar) is joined instead
+    of its events.
     """
     key = ["event_year", "location_id", "stage_date"]
     days = F.col("predicted_days")

@@ -269,9 +269,9 @@ def nearest_in_box(
 ) -> DataFrame:
     """Per point and day, the nearest weather row inside a +-``box`` degree square.
 
-    Points are copied to the nine cells around them, weather rows stay in one
-    cell, so the join is an equi-join on the cell; the nearest row is a partial
-    aggregate.
+    The search runs once per distinct coordinate pair.  Those are copied to the
+    nine cells around them, weather rows stay in one cell, so the join is an
+    equi-join on the cell; the nearest row is a partial aggregate.
     """
     days = (F.lit(start).cast("date"), F.lit(end).cast("date"))
 
@@ -279,18 +279,19 @@ def nearest_in_box(
         return F.floor(c / box).cast("int")
 
     around = F.sequence(F.lit(-1), F.lit(1))
+    named = points.select(
+        "point_id", F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon")
+    ).distinct()
     spread = (
-        points.withColumnsRenamed({"latitude": "_plat", "longitude": "_plon"})
-        .select("point_id", "_plat", "_plon")
+        named.select("_plat", "_plon")
         .distinct()
-        .withColumn("_dx", F.explode(around))
         .withColumn("_dy", F.explode(around))
+        .withColumn("_dx", F.explode(around))
         .select(
-            "point_id",
             "_plat",
             "_plon",
-            (cell(F.col("_plat")) + F.col("_dx")).alias("_cy"),
-            (cell(F.col("_plon")) + F.col("_dy")).alias("_cx"),
+            (cell(F.col("_plat")) + F.col("_dy")).alias("_cy"),
+            (cell(F.col("_plon")) + F.col("_dx")).alias("_cx"),
         )
     )
     daily = weather.where(F.col("date").between(*days)).withColumns(
@@ -303,18 +304,18 @@ def nearest_in_box(
     distance = S.haversine_km(
         F.col("_plat"), F.col("_plon"), F.col("centroid_lat"), F.col("centroid_lon")
     )
-    return (
+    nearest = (
         daily.join(spread, ["_cy", "_cx"])
         .where(inside)
         .withColumn("distance_km", distance)
-        .groupBy("point_id", "date")
+        .groupBy("_plat", "_plon", "date")
         .agg(
             F.min_by(
                 F.struct(*kept, "distance_km"), F.struct("distance_km", "place_id")
             ).alias("_row")
         )
-        .select("point_id", "date", "_row.*")
     )
+    return named.join(nearest, ["_plat", "_plon"]).select("point_id", "date", "_row.*")
 
 
 # ---------------------------------------------------------------- polygons

@@ -21,8 +21,8 @@ from seasontide.plans.registry import query, scratch_dir
 from seasontide.plans.source_queries import prepared
 
 CFG = Settings(manual_events=False)
-GBT = {"maxIter": 5, "maxDepth": 4}
-FOLDS = (1998, 1999, 2000)
+GBT = {"maxIter": 4, "maxDepth": 3}
+FOLDS = (1998, 1999)
 
 
 def small_gbt(df, features, label):
