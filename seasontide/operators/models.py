@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from seasontide.config import TARGET_IDS, Settings
 from seasontide.functions import scalars as S
 from seasontide.functions.checkpoints import reliable
+from seasontide.functions.ordering import keep_first
 from seasontide.functions.quantiles import exact_percentiles
 from seasontide.operators import termination as T
 from seasontide.operators.audits import require_inference
@@ -581,11 +582,25 @@ def hindcast(
     scope: DataFrame,
     features: Sequence[str],
     stages: Sequence[int] = TARGET_IDS,
+    mapped: DataFrame | None = None,
+    calibrator: RidgeCalibrator | None = None,
+    cfg: Settings = Settings(),
 ) -> DataFrame:
-    """Frozen-model predictions for the listed dates, stages and locations, in one batch."""
+    """Frozen-model predictions for the listed dates, stages and locations, in one batch.
+
+    ``mapped`` (of ``spatial.map_custom_points``) adds the input point of each
+    location; a calibrator locks the trajectories of the listed dates.
+    """
     wanted = dates.select(F.col("prediction_date").cast("date").alias("date")).distinct()
     rows = daily.join(wanted, "date", "left_semi").join(
         scope.select("location_id"), "location_id", "left_semi"
     )
     scored = score(model, add_stages(rows, stages), features)
-    return collapse_predictions(format_predictions(scored))
+    out = collapse_predictions(format_predictions(scored))
+    if calibrator is not None:
+        out = T.apply_termination(out, calibrator, cfg)
+    if mapped is not None:
+        inputs = [c for c in mapped.columns if c.startswith(("input_", "mapped_"))]
+        named = keep_first(mapped.select("location_id", *inputs), ["location_id"], inputs)
+        out = out.join(named, "location_id", "left")
+    return out

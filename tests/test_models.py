@@ -115,6 +115,12 @@ def test_bundle_round_trip_and_latest(spark, folds):
     assert bundle.manifest["input_events"] == str(events.count())
     season = Q.build_trajectory(daily, events, 1999, through="1999-05-31")
     visible = season.withColumnRenamed("date", "prediction_date")
+    mapped = daily.select("location_id", F.lit("mine").alias("input_name")).distinct()
+    past = M.hindcast(
+        base, daily, visible, mapped, Q.CFG.features, (1, 2), mapped, ridge, Q.CFG
+    )
+    row = past.agg(F.count_if("termination_reached"), F.min("input_name"), F.max("stage_id")).first()
+    assert row[0] > 0 and row[1] == "mine" and row[2] == 2
     latest = M.predict_latest(visible, bundle, Q.CFG)
     days = [r[0] for r in latest.select("prediction_date").distinct().collect()]
     assert days == [visible.agg(F.max("prediction_date")).first()[0]]
