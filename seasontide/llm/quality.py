@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 from seasontide.llm.common import GAP, stored
 
 #: The transformed statistics, each on a scale on which honest text is roughly even.
-FEATURES = ("x_length", "x_word", "x_symbols", "x_lines", "x_repeats")
+FEATURES = ("x_length", "x_word", "x_symbols", "x_lines", "x_repeats", "x_shouts")
 #: Least standard deviation per feature: where a group hardly varies, smaller steps are no outliers.
-FLOORS = (0.5, 0.08, 0.05, 0.1, 0.15)
-#: Share of rows that the estimates rest on, and the quantile of chi-squared(5) at that share.
-CORE, CORE_CHI2 = 0.75, 6.626
+FLOORS = (0.5, 0.08, 0.05, 0.1, 0.15, 0.06)
+#: Share of rows that the estimates rest on, and how much narrower than the whole of a normal cloud
+#: its nearest such share is: 0.75 / P(chi-squared(8) <= 7.84), 7.84 being the 0.75 quantile for 6 features.
+CORE, WIDEN = 0.75, 1.36
 STEPS = 4
 #: Rows that a group needs for estimates of its own; smaller ones share those of their language, then of all.
 GROUP_ROWS = 200
-#: Squared distance from which a document goes: chi-squared(5) at 1 - 1e-9.
-CUT = 50.0
+#: Squared distance from which a document goes: chi-squared(6) at 1 - 1e-6.
+CUT = 38.3
 
 
 def _at(array: str, i: Column) -> Column:
@@ -34,6 +35,8 @@ def _at(array: str, i: Column) -> Column:
 def base_statistics(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Word, symbol, line and repetition counts of whole texts, one row per row.
 
+    n_shouts counts upper-case letters and exclamation marks; no base rule uses it.
+
     A null text counts as empty: all counts are 0 and base_failed is true. Windows
     of three words are compared by 64-bit hashes of which the low bits give way to
     the window's place (just as many as the text's length needs), so that one sort
@@ -48,11 +51,12 @@ def base_statistics(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
         *keep,
         F.length(F.regexp_replace(text, GAP, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"[\p{Lu}!]")).cast("long").alias("n_shouts"),
         lines.alias("_lines"),
         F.transform(words, lambda w: F.xxhash64(w)).alias("_w"),
     )
     step2 = step1.select(
-        "doc_id", *keep, "word_chars", "n_symbols", "_w",
+        "doc_id", *keep, "word_chars", "n_symbols", "n_shouts", "_w",
         F.size("_w").cast("long").alias("n_words"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         # low bits that hold a place in the text
@@ -81,7 +85,7 @@ def base_statistics(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     step5 = step4.withColumn("n_repeat_words", covered.cast("long"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return step5.select(
-        "doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_shouts",
         failed.alias("base_failed"),
     )
 
@@ -96,62 +100,61 @@ def _features(stats: DataFrame) -> DataFrame:
             "x_symbols": F.sqrt(F.col("n_symbols") / (F.col("word_chars") + 1)),
             "x_lines": F.log1p("n_dup_lines") / 4,
             "x_repeats": F.sqrt(F.col("n_repeat_words") / words),
+            "x_shouts": F.sqrt(F.col("n_shouts") / (F.col("word_chars") + 1)),
         }
     )
 
 
-def _inverse(d: int) -> list[tuple[str, Column]]:
-    """Steps of Gauss-Jordan elimination on columns c_i_j of a positive definite matrix."""
-    steps = []
-    for k in range(d):
-        steps.append([(f"p_{k}", 1 / F.col(f"c_{k}_{k}"))])
-        new = []
-        for i in range(d):
-            for j in range(d):
-                c, p = F.col(f"c_{i}_{j}"), F.col(f"p_{k}")
-                row, col = F.col(f"c_{k}_{j}"), F.col(f"c_{i}_{k}")
-                if i == k and j == k:
-                    new.append((f"c_{i}_{j}", p))
-                elif i == k:
-                    new.append((f"c_{i}_{j}", row * p))
-                elif j == k:
-                    new.append((f"c_{i}_{j}", -col * p))
-                else:
-                    new.append((f"c_{i}_{j}", c - col * row * p))
-        steps.append(new)
-    return steps
-
-
-def _moments(rows: DataFrame, scale: Column) -> DataFrame:
+def _inverse(matrix: Column, d: int) -> Column:
+    """Gauss-Jordan elimination of a positive definite matrix held row by row in one array."""
+
+    def eliminate(m: Column, k: Column) -> Column:
+        pivot = F.get(m, k * d + k)
+
+        def cell(x: Column, at: Column) -> Column:
+            i, j = F.floor(at / d).cast("int"), at % d
+            row, col = F.get(m, k * d + j), F.get(m, i * d + k)
+            return (
+                F.when((i == k) & (j == k), 1 / pivot)
+                .when(i == k, row / pivot)
+                .when(j == k, -col / pivot)
+                .otherwise(x - col * row / pivot)
+            )
+
+        return F.transform(m, cell)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), matrix, eliminate)
+
+
+def _moments(rows: DataFrame, widen: float) -> DataFrame:
     """Mean and inverse covariance per group; variances get the squared floors added."""
     d = len(FEATURES)
+    # all features are of order 1, so that sums of products lose no digits that matter
     sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(FEATURES)]
-    # about a fixed centre the sums of products lose no digits: all features are of order 1
-    prods = [
-        F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i in range(d) for j in range(i, d)
-    ]
-    found = rows.groupBy("pool").agg(*sums, *prods)
-    cov = {}
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    found = rows.groupBy("pool").agg(
+        *sums, *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i, j in pairs]
+    )
+    cells = []
     for i in range(d):
         for j in range(d):
             a, b = min(i, j), max(i, j)
-            c = (F.col(f"q_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * scale
-            cov[f"c_{i}_{j}"] = c + FLOORS[i] ** 2 if i == j else c
-    found = found.select("pool", *[f"m_{i}" for i in range(d)], *[c.alias(n) for n, c in cov.items()])
-    # one row per group: each elimination step is stored in columns before the next reads it
-    for step in _inverse(d):
-        found = found.withColumns(dict(step))
-    return found.select("pool", *[f"m_{i}" for i in range(d)], *[f"c_{i}_{j}" for i in range(d) for j in range(d)])
+            c = (F.col(f"q_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * widen
+            cells.append(c + FLOORS[i] ** 2 if i == j else c)
+    return found.select(
+        "pool", F.array(*[f"m_{i}" for i in range(d)]).alias("centre"), _inverse(F.array(*cells), d).alias("inverse")
+    )
 
 
-def _distances(rows: DataFrame, moments: DataFrame) -> DataFrame:
+def _distance() -> Column:
+    """Squared Mahalanobis distance of a row's features from its group's centre."""
     d = len(FEATURES)
-    y = [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(FEATURES)]
+    away = [F.col(x) - F.get("centre", F.lit(i)) for i, x in enumerate(FEATURES)]
     total = F.lit(0.0)
     for i in range(d):
-        for j in range(d):
-            total = total + y[i] * y[j] * F.col(f"c_{i}_{j}")
-    return rows.join(moments, "pool").withColumn("d2", total).drop(*[c for c in moments.columns if c != "pool"])
+        for j in range(i, d):
+            total = total + away[i] * away[j] * F.get("inverse", F.lit(i * d + j)) * (1.0 if i == j else 2.0)
+    return total
 
 
 def robust_outliers(stats: DataFrame) -> DataFrame:
@@ -176,27 +179,18 @@ def robust_outliers(stats: DataFrame) -> DataFrame:
     # three levels of rows: each estimate is made from all rows of its level
     levels = F.array("_g", "_l", F.lit("all"))
     core = sound.select(F.explode(levels).alias("pool"), *FEATURES)
-    scale = F.lit(1.0)
-    moments = None
+    moments = stored(_moments(core, 1.0), "moments")
     for _ in range(STEPS):
-        moments = stored(_moments(core, scale), "moments")
-        away = _distances(sound.select(F.explode(levels).alias("pool"), *FEATURES), moments)
+        away = sound.select(F.explode(levels).alias("pool"), *FEATURES).join(moments, "pool")
+        away = away.select("pool", *FEATURES, _distance().alias("d2"))
         edge = away.groupBy("pool").agg(F.percentile_approx("d2", CORE, 1000).alias("edge"))
-        core = away.join(stored(edge, "edges"), "pool").where("d2 <= edge")
-        # the core of a normal cloud is narrower than the cloud by a known factor
-        scale = F.lit(1.86)
-    final = stored(_moments(core, scale), "moments")
+        nearest = away.join(stored(edge, "edges"), "pool").where("d2 <= edge")
+        moments = stored(_moments(nearest, WIDEN), "moments")
     pool = F.when(F.col("_own"), F.col("_g")).when(F.col("_tongue"), F.col("_l")).otherwise(F.lit("all"))
     chosen = keyed.join(own, "_g", "left").join(tongue, "_l", "left").withColumn("pool", pool)
-    d = len(FEATURES)
-    y = [F.col(x) - F.col(f"m_{i}") for i, x in enumerate(FEATURES)]
-    total = F.lit(0.0)
-    for i in range(d):
-        for j in range(d):
-            total = total + y[i] * y[j] * F.col(f"c_{i}_{j}")
     return (
-        chosen.join(final, "pool", "left")
-        .withColumn("distance", total)
+        chosen.join(moments, "pool", "left")
+        .withColumn("distance", _distance())
         .withColumn("outlier", F.coalesce(F.col("distance") > CUT, F.lit(False)))
         .select(*stats.columns, "distance", "outlier")
     )
