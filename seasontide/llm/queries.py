@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasontide.llm import chat, mixing, quality
+from seasontide.llm import chat, mixing, pieces, quality, token_files
 from seasontide.llm.common import table
 
 
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     position = lambda i: F.round(F.get("positions", F.lit(i)), 6)
     return mixed.withColumns({"position": position(0), "second_position": position(1)}).drop("positions")
 
 
+def op5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_format_chats(spark: SparkSession, sf: str) -> DataFrame:
     extra = spark.createDataFrame(
         [(-7, turn, role, "\\### Assistant: </turn> ok") for turn, role in enumerate(("user", "assistant"))],
@@ -33,7 +42,9 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_files": (op2_token_files, None),
     "op4_mix_sources": (op4_mix_sources, mixing.ORACLE),
+    "op5_pieces": (op5_pieces, None),
     "op6_format_chats": (op6_format_chats, chat.ORACLE),
     "op9_quality_rules": (op9_quality_rules, None),
 }
