@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from seasontide.llm.common import scratch
 
 #: Encoded words that a Python worker keeps in each of two generations; only speed depends on it.
-KEPT, KEPT_LENGTH = 250_000, 48
+KEPT, KEPT_LENGTH = 400_000, 48
 #: Texts whose characters all lie below this are cut into words here; others are left to the library whole.
 PLAIN = 0x250
+#: How byte-level vocabularies write the space.
+SPACE = "\u0120"
 
 
 def _word_pattern() -> re.Pattern[str]:
@@ -58,6 +60,8 @@ class WordEncoder:
         # the strings of special tokens inside a text are ordinary text
         self.library.encode_special_tokens = True
         self.words = _word_pattern().findall
+        size = self.library.get_vocab_size()
+        self.begins_word = np.array([(self.library.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
         self.beyond = re.compile(f"[^\0-{chr(PLAIN - 1)}]").search
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -66,29 +70,43 @@ class WordEncoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _ask_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of single words. Those that begin with one space go to the library in a row.
+
+        A space begins a word, and no token holds one elsewhere; so the tokens that
+        begin with a space show where each word's ids begin.
+        """
+        spaced = [w for w in words if w[0] == " " and len(w) > 1 and w[1] != " "]
+        found = {}
+        if spaced:
+            ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
+            begins = np.flatnonzero(self.begins_word[ids])
+            if len(begins) == len(spaced):
+                data, ends = ids.tobytes(), np.append(begins[1:], len(ids)) * 4
+                found = {w: data[a:b] for w, a, b in zip(spaced, (begins * 4).tolist(), ends.tolist())}
+        rest = [w for w in words if w not in found]
+        found.update(zip(rest, self._ask(rest)))
+        return found
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         whole = {i: t for i, t in enumerate(texts) if self.beyond(t)}
         encoded = dict(zip(whole, self._ask(list(whole.values())))) if whole else {}
-        for i, text in enumerate(texts):
-            if i in encoded:
-                continue
-            words = self.words(text)
-            found = list(map(self.kept.get, words))
-            if None in found:
-                missing = {w for f, w in zip(found, words) if f is None}
-                new = {}
-                for w in list(missing):
-                    if (old := self.older.get(w)) is not None:
-                        new[w] = old
-                        missing.discard(w)
-                asked = list(missing)
-                new.update(zip(asked, self._ask(asked)))
-                found = [new[w] if f is None else f for f, w in zip(found, words)]
-                self.kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_LENGTH)
-                if len(self.kept) >= KEPT:
-                    self.kept, self.older = {}, self.kept
-            encoded[i] = b"".join(found)
+        plain = [i for i in range(len(texts)) if i not in encoded]
+        split = [self.words(texts[i]) for i in plain]
+        found = [list(map(self.kept.get, words)) for words in split]
+        missing = {w for f, words in zip(found, split) if None in f for w in set(words) if w not in self.kept}
+        if missing:
+            older = {w: self.older[w] for w in missing if w in self.older}
+            new = older | self._ask_words(list(missing - older.keys()))
+            found = [
+                [new[w] if x is None else x for x, w in zip(f, words)] if None in f else f
+                for f, words in zip(found, split)
+            ]
+            if len(self.kept) >= KEPT:
+                self.kept, self.older = {}, self.kept
+            self.kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_LENGTH)
+        encoded.update(zip(plain, map(b"".join, found)))
         return [encoded[i] for i in range(len(texts))]
 
 
