@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasontide.llm import chat, mixing, pieces, quality, token_files
+from seasontide.llm import chat, mixing, pieces, quality, token_files, warc
 from seasontide.llm.common import table
 
 
+def op1_warc_records(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,6 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_records": (op1_warc_records, warc.ORACLE),
     "op2_token_files": (op2_token_files, None),
     "op4_mix_sources": (op4_mix_sources, mixing.ORACLE),
     "op5_pieces": (op5_pieces, None),
