@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasontide.llm import chat, mixing, pieces, quality, token_files, warc
+from seasontide.llm import chat, language, mixing, pieces, quality, token_files, warc
 from seasontide.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_warc_records": (op1_warc_records, warc.ORACLE),
     "op2_token_files": (op2_token_files, None),
@@ -52,6 +56,7 @@ QUERIES = {
     "op5_pieces": (op5_pieces, None),
     "op6_format_chats": (op6_format_chats, chat.ORACLE),
     "op9_quality_rules": (op9_quality_rules, None),
+    "op10_languages": (op10_languages, None),
 }
 
 
