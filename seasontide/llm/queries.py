@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasontide.llm import chat, language, mixing, pieces, quality, token_files, warc
+from seasontide.llm import chat, grid_join, language, mixing, pieces, quality, token_files, warc
 from seasontide.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op6_format_chats(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_paths(chat.root_paths(messages), messages))
 
 
+def op8_vector_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return grid_join.near_duplicates(table(spark, sf, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     rated = quality.rate(table(spark, sf, "documents"))
     return rated.select(
@@ -55,6 +59,7 @@ QUERIES = {
     "op4_mix_sources": (op4_mix_sources, mixing.ORACLE),
     "op5_pieces": (op5_pieces, None),
     "op6_format_chats": (op6_format_chats, chat.ORACLE),
+    "op8_vector_duplicates": (op8_vector_duplicates, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_languages": (op10_languages, None),
 }
