@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasontide.llm import chat, grid_join, language, mixing, pieces, quality, token_files, warc
+from seasontide.llm import chat, forest, grid_join, language, mixing, pieces, quality, token_files, warc
 from seasontide.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return forest.near_duplicates(table(spark, sf, "documents"), k=3, percent=85)
+
+
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"))
     position = lambda i: F.round(F.get("positions", F.lit(i)), 6)
@@ -56,6 +60,7 @@ def op10_languages(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_warc_records": (op1_warc_records, warc.ORACLE),
     "op2_token_files": (op2_token_files, None),
+    "op3_near_duplicates": (op3_near_duplicates, None),
     "op4_mix_sources": (op4_mix_sources, mixing.ORACLE),
     "op5_pieces": (op5_pieces, None),
     "op6_format_chats": (op6_format_chats, chat.ORACLE),
