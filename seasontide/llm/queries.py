@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasontide.llm import chat, forest, grid_join, language, mixing, pieces, quality, token_files, warc
+from seasontide.llm import chat, forest, grid_join, language, mixing, pieces, quality, suffixes, token_files, warc
 from seasontide.llm.common import table
 
 
@@ -42,6 +43,10 @@ def op6_format_chats(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_paths(chat.root_paths(messages), messages))
 
 
+def op7_repeated_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.repeated_spans(table(spark, sf, "documents"))
+
+
 def op8_vector_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return grid_join.near_duplicates(table(spark, sf, "embeddings"))
 
@@ -64,9 +69,11 @@ QUERIES = {
     "op4_mix_sources": (op4_mix_sources, mixing.ORACLE),
     "op5_pieces": (op5_pieces, None),
     "op6_format_chats": (op6_format_chats, chat.ORACLE),
+    "op7_repeated_passages": (op7_repeated_passages, None),
     "op8_vector_duplicates": (op8_vector_duplicates, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_languages": (op10_languages, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
