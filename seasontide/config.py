@@ -44,7 +44,7 @@ class Settings:
     exclude_placeholders: bool = True
     placeholder_month_day: str = "12-31"
     manual_events: bool = True
-    observed_source: str = "redshift"
+    observed_source: str = "observed"
     target_ids: tuple[int, ...] = TARGET_IDS
     # event filters
     season_doy: tuple[int, int] = (60, 152)

@@ -31,11 +31,13 @@ def date_gaps(actual: DataFrame, index: DataFrame) -> DataFrame:
     """Per index entry: expected, actual and missing days, and which days are missing.
 
     A place has at most one row per calendar day after ``distinct``, so the list
-    is bounded by the length of the interval.
+    is bounded by the length of the interval.  An interval that ends before it
+    starts expects nothing.
     """
     have = actual.select("place_id", "date").distinct()
     n_actual = have.groupBy("place_id").agg(F.count("date").alias("actual_dates"))
-    expected = index.withColumn("date", F.explode(F.sequence("start_date", "end_date")))
+    forward = index.where("start_date <= end_date")
+    expected = forward.withColumn("date", F.explode(F.sequence("start_date", "end_date")))
     missing = (
         expected.join(have, ["place_id", "date"], "left_anti")
         .groupBy("place_id", "start_date", "end_date")
@@ -45,7 +47,7 @@ def date_gaps(actual: DataFrame, index: DataFrame) -> DataFrame:
         )
     )
     return (
-        index.withColumn("expected_dates", F.datediff("end_date", "start_date") + 1)
+        index.withColumn("expected_dates", F.greatest(F.datediff("end_date", "start_date") + 1, F.lit(0)))
         .join(missing, ["place_id", "start_date", "end_date"], "left")
         .join(n_actual, "place_id", "left")
         .select(

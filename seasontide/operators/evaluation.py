@@ -25,8 +25,8 @@ PREDICTION = ("prediction_date", "location_id", "stage_id")
 
 
 def day_percentile(days: Column, p: float) -> Column:
-    """Exact percentile of whole-day values."""
-    return F.percentile(days.cast("int"), F.lit(p))
+    """Exact percentile of day values; the buffer holds one entry per distinct value."""
+    return F.percentile(days.cast("double"), F.lit(p))
 
 
 # ---------------------------------------------------------------- planning

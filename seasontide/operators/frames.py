@@ -222,6 +222,9 @@ def training_matrix(
     )
     date = F.col("date")
     known = weather.where(date <= test if include_test_date else date < test)
+    # one row per day and location, so that no training row comes twice
+    order = [c for c in ("place_id", *features) if c in weather.columns]
+    known = keep_first(known, ["date", "location_id"], order)
     labelled = label_days(known, events, cfg.post_event_days, date >= start)
     return labelled.dropna(subset=list(dict.fromkeys([cfg.target, *features])))
 

@@ -7,6 +7,7 @@ scores as a column expression inside whole-stage codegen.
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
@@ -28,6 +29,7 @@ from seasontide.operators.events import add_output_names
 from seasontide.operators.frames import add_stages, build_trajectory, training_matrix
 
 RAW = "raw_signed_days"
+log = logging.getLogger(__name__)
 Fit = Callable[[DataFrame, Sequence[str], str], PipelineModel]
 
 # ---------------------------------------------------------------- base models
@@ -71,8 +73,19 @@ def fit_gbt(
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rows with the raw signed prediction."""
-    return model.transform(coerce_features(df.drop(RAW), features)).drop("features")
+    """All rows with the raw signed prediction; NULL where a feature is missing.
+
+    Rows without a feature are left out of training only.
+    """
+    keeping = model.copy()
+    for stage in keeping.stages:
+        if isinstance(stage, VectorAssembler):
+            stage.setHandleInvalid("keep")
+    known = F.lit(True)
+    for c in features:
+        known = known & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    scored = keeping.transform(coerce_features(df.drop(RAW), features)).drop("features")
+    return scored.withColumn(RAW, F.when(known, F.col(RAW)))
 
 
 def format_predictions(df: DataFrame) -> DataFrame:
@@ -246,6 +259,10 @@ def fit_ridge(
 # ---------------------------------------------------------------- chronological folds
 
 
+class EmptyFold(ValueError):
+    """A fold without a training row."""
+
+
 def fit_for_cutoff(
     events: DataFrame,
     features: DataFrame,
@@ -256,7 +273,10 @@ def fit_for_cutoff(
     """Model trained strictly before January 1 of ``year``, with its trace values."""
     cutoff = f"{year}-01-01"
     prior = events.where(F.col("stage_date") < F.lit(cutoff).cast("timestamp_ntz"))
-    matrix = training_matrix(prior, features, cutoff, cfg)
+    # read again for every tree level
+    matrix = reliable(training_matrix(prior, features, cutoff, cfg))
+    if matrix.isEmpty():
+        raise EmptyFold(f"no training rows before {cutoff}")
     model = fit(matrix, cfg.features, cfg.target)
     return model, {"model_train_cutoff_date": cutoff, "model_train_end_year": year - 1}
 
@@ -286,6 +306,7 @@ def oof_trajectories(
 
     Pass a stored feature table: every fold reads it.  The loop runs over a
     handful of seasons, each needs its own model; everything inside is distributed.
+    A season without a training row before it is left out, with a warning.
     """
     # one row per season
     known = sorted(r[0] for r in events.select(F.year("stage_date")).distinct().collect() if r[0])
@@ -293,7 +314,11 @@ def oof_trajectories(
     start_md, end_md = cfg.trajectory_season
     folds = None
     for year in years:
-        model, trace = fit_for_cutoff(events, features, year, fit, cfg)
+        try:
+            model, trace = fit_for_cutoff(events, features, year, fit, cfg)
+        except EmptyFold as empty:
+            log.warning("fold %s is left out: %s", year, empty)
+            continue
         season = build_trajectory(features, events, year, cfg.target_ids, f"{year}-{end_md}")
         season = season.where(F.col("date") >= F.lit(f"{year}-{start_md}").cast("date"))
         scored = format_predictions(score(model, season, cfg.features)).withColumns(
@@ -349,11 +374,15 @@ def _apply_models(
 def walk_forward_models(
     features: DataFrame, year: str, cfg: Settings = Settings(), target: str = "actual_days_to_event"
 ) -> dict[int, RidgeCalibrator]:
-    """One calibrator per season, fitted on earlier seasons; the first season has none."""
-    seasons = sorted(r[0] for r in features.select(year).distinct().collect() if r[0] is not None)
+    """One calibrator per season with labelled earlier seasons; others have none and stay base."""
+    # one row per season
+    counted = features.groupBy(year).agg(F.count(target)).collect()
+    seasons = sorted(r[0] for r in counted if r[0] is not None)
+    labelled = {r[0] for r in counted if r[0] is not None and r[1]}
     return {
         y: fit_ridge(features.where(F.col(year) < y), target, cfg.ridge_alpha)
-        for y in seasons[1:]
+        for y in seasons
+        if any(known < y for known in labelled)
     }
 
 

@@ -143,6 +143,22 @@ def _distinct_grid(grid: DataFrame, lat: str, lon: str) -> DataFrame:
     return keep_first(rows, ["place_id"], ["g_lat", "g_lon"])
 
 
+def _extent(grid: DataFrame) -> list[tuple[float, float]]:
+    """Range of the grid's coordinates: its root cells, whatever the longitudes' convention.
+
+    Coordinates of no map are rejected, as their root cells could not be listed.
+    """
+    finite = grid.where(~F.isnan("g_lat") & ~F.isnan("g_lon"))
+    low, high, west, east = finite.agg(
+        F.min("g_lat"), F.max("g_lat"), F.min("g_lon"), F.max("g_lon")
+    ).first()
+    if low is None:
+        return [(0.0, 0.0), (0.0, 0.0)]
+    if max(abs(low), abs(high)) > 90 or max(abs(west), abs(east)) > 720:
+        raise ValueError(f"coordinates outside a map: latitude {low}..{high}, longitude {west}..{east}")
+    return [(low, high), (west, east)]
+
+
 def _with_nearest(
     points: DataFrame, grid: DataFrame, lat: str, lon: str, sphere: bool
 ) -> DataFrame:
@@ -178,7 +194,7 @@ def _with_nearest(
             ["p_lat", "p_lon"],
             ["g_lat", "g_lon"],
             DEGREE_LEVELS,
-            [(-90.0, 90.0), (-180.0, 180.0)],
+            _extent(grid),
         )
         distance = F.pow(F.col("g_lat") - F.col("p_lat"), 2) + F.pow(
             F.col("g_lon") - F.col("p_lon"), 2

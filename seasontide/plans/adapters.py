@@ -122,7 +122,7 @@ def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
     stage = (
         F.when(kind == "click", 1).when(kind == "view", 4).when(kind == "purchase", 2).otherwise(3)
     )
-    return table(spark, sf, "events").where(kind != "error").select(
+    return table(spark, sf, "events").select(
         "user_id",
         stage.alias("stage_id"),
         F.to_date("ts").alias("prediction_date"),
@@ -214,7 +214,6 @@ def track_events(spark: SparkSession, sf: str) -> DataFrame:
     day = F.date_add(F.lit("2024-01-10").cast("date"), (F.col("user_id") % 12).cast("int"))
     return (
         table(spark, sf, "events")
-        .where(kind != "error")
         .select("user_id", stage.alias("stage_id"))
         .distinct()
         .withColumn("_places", n_places(spark, sf))

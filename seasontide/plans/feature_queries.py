@@ -452,16 +452,6 @@ def _(spark, sf):
     )
 
 
-@query(
-    "spline_crossing",
-    "G7",
-    "SELECT location_id, stage_id, prediction_date, NULL::DOUBLE AS rolling_spline_crossing_0 FROM trajectory",
-)
-def _(spark, sf):
-    frame = G.spline_crossing(signal(spark, sf), "rolling_spline_crossing_0")
-    return frame.select(*TRACK, "rolling_spline_crossing_0")
-
-
 @query(
     "forward_fill",
     "G8",

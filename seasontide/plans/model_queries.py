@@ -22,7 +22,7 @@ from seasontide.plans.source_queries import prepared
 
 CFG = Settings(manual_events=False)
 GBT = {"maxIter": 4, "maxDepth": 3}
-FOLDS = (1998, 1999)
+FOLDS = (1996, 1997, 1998, 1999, 2000, 2001)
 
 
 def small_gbt(df, features, label):

@@ -140,7 +140,7 @@ VIEWS = {
         SELECT user_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 4
                              WHEN 'purchase' THEN 2 ELSE 3 END AS stage_id,
                CAST(ts AS DATE) AS prediction_date, CAST(round(value * 100) AS BIGINT) AS cents
-        FROM events WHERE event_type <> 'error'""",
+        FROM events""",
     "sig": """
         SELECT user_id, stage_id, prediction_date,
                floor((25.0::DOUBLE - day(prediction_date)

@@ -381,7 +381,7 @@ def _manual(spark, sf):
     "append_manual",
     "B5",
     """SELECT location_id, stage_id, stage_date, label_source, false AS is_manual_event,
-              'redshift' AS data_source, NULL::VARCHAR AS manual_event_id, NULL::VARCHAR AS region FROM canon
+              'observed' AS data_source, NULL::VARCHAR AS manual_event_id, NULL::VARCHAR AS region FROM canon
        UNION ALL
        SELECT loc, stage_id, stage_date, NULL, true, 'manual_curated', loc || '_stage_' || stage_id, r_name FROM (
          SELECT 'manual_' || trim(regexp_replace(lower(r_name), '[^a-z0-9]+', '_', 'g'), '_') || '_1999_'
