@@ -358,3 +358,38 @@ def test_schedule_contains_grid_and_events(spark):
     )
     got = {r.prediction_date for r in H.prediction_schedule(df, [2025], step=30).collect()}
     assert got == {D8(2025, 3, 1), D8(2025, 3, 5), D8(2025, 3, 31), D8(2025, 4, 30), D8(2025, 5, 30)}
+
+
+def test_nearest_takes_any_longitude_convention(spark):
+    from seasontide.operators import spatial
+
+    points = spark.createDataFrame([(0.0, 300.0)], "latitude double, longitude double")
+    grid = spark.createDataFrame([("A", 0.0, 301.0), ("B", 0.0, 100.0)], "place_id string, g_lat double, g_lon double")
+    near = spatial._with_nearest(points, grid, "latitude", "longitude", sphere=False)
+    assert [r.place_id for r in near.collect()] == ["A"]
+    only = spatial._with_nearest(points, grid.where("place_id = 'B'"), "latitude", "longitude", sphere=False)
+    assert [r.place_id for r in only.collect()] == ["B"]
+
+
+def test_scoring_keeps_rows_with_missing_features(spark):
+    from seasontide.operators import models
+
+    rows = [(float(i), float(i % 7), float(i)) for i in range(40)]
+    train = spark.createDataFrame(rows, "a double, b double, y double")
+    model = models.fit_rf(train, ["a", "b"], "y", {"numTrees": 2, "maxDepth": 2})
+    scored = models.score(model, spark.createDataFrame([(1.0, 2.0), (1.0, None)], "a double, b double"), ["a", "b"])
+    found = {r.b: r[models.RAW] for r in scored.collect()}
+    assert found[2.0] is not None and found[None] is None
+
+
+def test_fractional_percentiles_and_reversed_intervals(spark):
+    from pyspark.sql import functions as F
+
+    from seasontide.operators import audits, evaluation
+
+    errors = spark.createDataFrame([(0.9,), (0.9,), (1.9,)], "e double")
+    assert errors.agg(evaluation.day_percentile(F.col("e"), 0.5)).first()[0] == 0.9
+    index = spark.sql("SELECT 'p' AS place_id, DATE'2024-01-05' AS start_date, DATE'2024-01-02' AS end_date")
+    have = spark.sql("SELECT 'p' AS place_id, DATE'2024-01-03' AS date")
+    row = audits.date_gaps(have, index).first()
+    assert (row.expected_dates, row.missing_count, row.missing_dates) == (0, 0, [])
