@@ -24,6 +24,8 @@ DIMENSIONS = 8
 #: Rows on which the principal dimensions are fitted, the first in the order of a hash.
 FITTED_ROWS = 10_000
 BLOCK = 1024
+#: Tasks over which the partners of one block are dealt.
+LANES = 4
 #: Each interval has 32 parts; a partition numbers its blocks below 32 ** 3.
 FAN_BITS, SEQUENCE_BITS = 5, 15
 
@@ -60,9 +62,15 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
 
 
+def _kind(classes: DataFrame) -> str:
+    """How vectors travel: as given, so that single precision takes half the space."""
+    return "f4" if classes.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
+
+
 def _blocks(classes: DataFrame, axes: np.ndarray, centre: np.ndarray, epsilon: float) -> DataFrame:
     """Blocks of the grid-ordered sequence: (block, reps, sizes, vectors, lo, hi)."""
     width, dims = axes.shape
+    kind = _kind(classes)
 
     def place(batches):
         for batch in batches:
@@ -90,13 +98,13 @@ def _blocks(classes: DataFrame, axes: np.ndarray, centre: np.ndarray, epsilon: f
             if seq >> SEQUENCE_BITS:
                 raise ValueError("too many blocks in a partition: use more shuffle partitions")
             spots = _matrix(table.column("spot").combine_chunks(), dims)
-            units = _units(_matrix(table.column("embedding").combine_chunks(), width))
+            values = _matrix(table.column("embedding").combine_chunks(), width).astype(kind)
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << SEQUENCE_BITS | seq], pa.int64()),
                     pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())),
                     pa.array([table.column("n").to_pylist()], pa.list_(pa.int64())),
-                    pa.array([units.tobytes()], pa.binary()),
+                    pa.array([values.tobytes()], pa.binary()),
                     pa.array([spots.min(axis=0)], pa.list_(pa.float64())),
                     pa.array([spots.max(axis=0)], pa.list_(pa.float64())),
                 ],
@@ -148,19 +156,31 @@ def _near_blocks(boxes: DataFrame, epsilon: float, dims: int) -> DataFrame:
     return pairs
 
 
-def _compare(pairs: DataFrame, blocks: DataFrame, least: float, width: int) -> DataFrame:
-    """(rep, links, joined): per block pair and vector with a link, the vectors it links and its component there."""
-    left = blocks.select(F.col("block").alias("a"), F.col("reps").alias("ra"), F.col("sizes").alias("na"), F.col("vectors").alias("va"))
-    right = blocks.select(F.col("block").alias("b"), F.col("reps").alias("rb"), F.col("sizes").alias("nb"), F.col("vectors").alias("vb"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ra", "na", "va", "rb", "nb", "vb")
+def _compare(pairs: DataFrame, blocks: DataFrame, least: float, width: int, kind: str) -> DataFrame:
+    """(rep, links, joined): per block pair and vector with a link, the vectors it links and its component there.
+
+    Block a is sent once to each of LANES tasks, ahead of its partners b, which are
+    dealt over them and stream past it.
+    """
+    body = [F.col(c) for c in ("reps", "sizes", "vectors")]
+    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
+    own = pairs.select("a").distinct().join(blocks, F.col("a") == F.col("block"))
+    own = own.select("a", lanes, F.lit(-1).cast("long").alias("b"), *body)
+    other = pairs.join(blocks, F.col("b") == F.col("block"))
+    other = other.select("a", F.pmod(F.xxhash64("b"), F.lit(LANES)).cast("int").alias("lane"), "b", *body)
+    dealt = own.union(other).repartition("a", "lane").sortWithinPartitions("a", "lane", "b")
 
     def run(batches):
+        ra = na = va = None
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ra, na = (np.asarray(batch.column(k)[i].values) for k in (2, 3))
-                rb, nb = (np.asarray(batch.column(k)[i].values) for k in (5, 6))
-                va, vb = (np.frombuffer(batch.column(k)[i].as_buffer()).reshape(-1, width) for k in (4, 7))
+                a, b = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
+                reps, sizes = (np.asarray(batch.column(k)[i].values) for k in (3, 4))
+                vectors = _units(np.frombuffer(batch.column(5)[i].as_buffer(), kind).reshape(-1, width).astype(np.float64))
+                if b < 0:
+                    ra, na, va = reps, sizes, vectors
+                    continue
+                rb, nb, vb = reps, sizes, vectors
                 x, y = np.nonzero(va @ vb.T >= least)
                 if a == b:
                     x, y = x[x != y], y[x != y]
@@ -190,7 +210,7 @@ def _compare(pairs: DataFrame, blocks: DataFrame, least: float, width: int) -> D
                     [pa.array(reps[keep]), pa.array(links[keep]), pa.array(reps[label][keep])], ["rep", "links", "joined"]
                 )
 
-    return stored(joined.repartition("a", "b").mapInArrow(run, "rep long, links long, joined long"), "links")
+    return stored(dealt.mapInArrow(run, "rep long, links long, joined long"), "links")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
@@ -219,7 +239,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     epsilon = float(np.sqrt(max(2 - 2 * least, 0.0)))
     blocks = _blocks(classes, axes, centre, max(epsilon, 1e-6))
     pairs = _near_blocks(blocks, epsilon, axes.shape[1])
-    links = _compare(pairs, blocks, least, width)
+    links = _compare(pairs, blocks, least, width, _kind(classes))
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(links.where("rep != joined").select(F.col("rep").alias("a"), F.col("joined").alias("b")))
     found = (
