@@ -24,8 +24,10 @@ DIMENSIONS = 8
 #: Rows on which the principal dimensions are fitted, the first in the order of a hash.
 FITTED_ROWS = 10_000
 BLOCK = 1024
-#: Tasks over which the partners of one block are dealt.
-LANES = 4
+#: Bytes of vectors that a task holds while their partners stream past it: a stretch of blocks.
+STRETCH_BYTES = 32 << 20
+#: Tasks over which the partners of one stretch are dealt, where there are fewer stretches than cores.
+MOST_LANES = 32
 #: Each interval has 32 parts; a partition numbers its blocks below 32 ** 3.
 FAN_BITS, SEQUENCE_BITS = 5, 15
 
@@ -68,7 +70,10 @@ def _kind(classes: DataFrame) -> str:
 
 
 def _blocks(classes: DataFrame, axes: np.ndarray, centre: np.ndarray, epsilon: float) -> DataFrame:
-    """Blocks of the grid-ordered sequence: (block, reps, sizes, vectors, lo, hi)."""
+    """Blocks of the grid-ordered sequence: (block, part, rows_before, reps, sizes, vectors, lo, hi).
+
+    rows_before counts the rows of the partition ahead of the block.
+    """
     width, dims = axes.shape
     kind = _kind(classes)
 
@@ -91,10 +96,10 @@ def _blocks(classes: DataFrame, axes: np.ndarray, centre: np.ndarray, epsilon: f
     ordered = placed.repartitionByRange(*cells, "rep").sortWithinPartitions(*cells, "rep")
 
     def block(batches):
-        part, seq, held = TaskContext.get().partitionId(), 0, []
+        part, seq, ahead, held = TaskContext.get().partitionId(), 0, 0, []
 
         def cut(table: pa.Table):
-            nonlocal seq
+            nonlocal seq, ahead
             if seq >> SEQUENCE_BITS:
                 raise ValueError("too many blocks in a partition: use more shuffle partitions")
             spots = _matrix(table.column("spot").combine_chunks(), dims)
@@ -102,15 +107,18 @@ def _blocks(classes: DataFrame, axes: np.ndarray, centre: np.ndarray, epsilon: f
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([part << SEQUENCE_BITS | seq], pa.int64()),
+                    pa.array([part], pa.int32()),
+                    pa.array([ahead], pa.int64()),
                     pa.array([table.column("rep").to_pylist()], pa.list_(pa.int64())),
                     pa.array([table.column("n").to_pylist()], pa.list_(pa.int64())),
                     pa.array([values.tobytes()], pa.binary()),
                     pa.array([spots.min(axis=0)], pa.list_(pa.float64())),
                     pa.array([spots.max(axis=0)], pa.list_(pa.float64())),
                 ],
-                ["block", "reps", "sizes", "vectors", "lo", "hi"],
+                ["block", "part", "rows_before", "reps", "sizes", "vectors", "lo", "hi"],
             )
             seq += 1
+            ahead += table.num_rows
             return row
 
         rows = 0
@@ -126,10 +134,26 @@ def _blocks(classes: DataFrame, axes: np.ndarray, centre: np.ndarray, epsilon: f
         if rows:
             yield cut(pa.Table.from_batches(held))
 
-    schema = "block long, reps array<long>, sizes array<long>, vectors binary, lo array<double>, hi array<double>"
+    schema = "block long, part int, rows_before long, reps array<long>, sizes array<long>, vectors binary, lo array<double>, hi array<double>"
     return stored(ordered.mapInArrow(block, schema), "blocks")
 
 
+def _stretches(blocks: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """(block, stretch) and the number of stretches: about ``rows`` rows of the sequence each.
+
+    Stretches go on across partitions; only a row count per partition comes to the driver.
+    """
+    parts = blocks.groupBy("part").agg(F.sum(F.size("reps")).alias("n")).orderBy("part").collect()
+    ahead, total = [], 0
+    for p in parts:
+        ahead.append((p["part"], total))
+        total += p["n"]
+    starts = blocks.sparkSession.createDataFrame(ahead, "part int, ahead long")
+    at = (F.col("ahead") + F.col("rows_before")) / F.lit(rows)
+    placed = blocks.select("block", "part", "rows_before").join(starts, "part").select("block", F.floor(at).alias("stretch"))
+    return placed, -(-total // rows)
+
+
 def _near_blocks(boxes: DataFrame, epsilon: float, dims: int) -> DataFrame:
     """Pairs (a, b), a <= b, of blocks whose boxes lie within epsilon, by joining intervals top down."""
     levels = [stored(boxes.select(F.col("block").alias("node"), "lo", "hi"), "boxes")]
@@ -157,62 +181,79 @@ def _near_blocks(boxes: DataFrame, epsilon: float, dims: int) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, blocks: DataFrame, least: float, width: int, kind: str) -> DataFrame:
-    """(rep, links, joined): per block pair and vector with a link, the vectors it links and its component there.
+    """(rep, links, joined): per block and vector with a link, the vectors it links and its component there.
 
-    Block a is sent once to each of LANES tasks, ahead of its partners b, which are
-    dealt over them and stream past it.
+    A task holds a stretch of blocks, as they travel, and compares each partner block
+    that streams past with those of the stretch that it is paired with, two blocks at a
+    time. So a block travels once per stretch and not once per pair.
     """
+    rows = max(BLOCK, STRETCH_BYTES // (width * np.dtype(kind).itemsize))
+    stretch, count = _stretches(blocks, rows)
+    lanes = min(max(1, pairs.sparkSession.sparkContext.defaultParallelism // max(count, 1)), MOST_LANES)
     body = [F.col(c) for c in ("reps", "sizes", "vectors")]
-    lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("lane")
-    own = pairs.select("a").distinct().join(blocks, F.col("a") == F.col("block"))
-    own = own.select("a", lanes, F.lit(-1).cast("long").alias("b"), *body)
-    other = pairs.join(blocks, F.col("b") == F.col("block"))
-    other = other.select("a", F.pmod(F.xxhash64("b"), F.lit(LANES)).cast("int").alias("lane"), "b", *body)
-    dealt = own.union(other).repartition("a", "lane").sortWithinPartitions("a", "lane", "b")
+    held = stretch.join(blocks, "block").select(
+        "stretch", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(False).alias("partner"),
+        "block", F.lit(None).cast("array<long>").alias("paired"), *body,
+    )
+    # a list holds the blocks of one stretch at most
+    met = pairs.join(stretch, F.col("a") == F.col("block")).groupBy("stretch", "b").agg(F.sort_array(F.collect_list("a")).alias("paired"))
+    passing = met.join(blocks, F.col("b") == F.col("block")).select(
+        "stretch", F.pmod(F.xxhash64("b"), F.lit(lanes)).cast("int").alias("lane"), F.lit(True).alias("partner"),
+        "block", "paired", *body,
+    )
+    dealt = held.union(passing).repartition("stretch", "lane").sortWithinPartitions("stretch", "lane", "partner", "block")
 
     def run(batches):
-        ra = na = va = None
+        now, own = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
-                a, b = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                reps, sizes = (np.asarray(batch.column(k)[i].values) for k in (3, 4))
-                vectors = _units(np.frombuffer(batch.column(5)[i].as_buffer(), kind).reshape(-1, width).astype(np.float64))
-                if b < 0:
-                    ra, na, va = reps, sizes, vectors
-                    continue
-                rb, nb, vb = reps, sizes, vectors
-                x, y = np.nonzero(va @ vb.T >= least)
-                if a == b:
-                    x, y = x[x != y], y[x != y]
-                if not len(x):
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if key != now:
+                    now, own = key, {}
+                b = batch.column(3)[i].as_py()
+                reps, sizes = (np.asarray(batch.column(k)[i].values) for k in (5, 6))
+                vectors = np.frombuffer(batch.column(7)[i].as_py(), kind).reshape(-1, width)
+                if not batch.column(2)[i].as_py():
+                    own[b] = np.array(reps), np.array(sizes), vectors
                     continue
-                links = np.zeros(len(ra), np.int64)
-                np.add.at(links, x, nb[y])
-                ids, count = [ra], [links]
-                if a != b:
-                    back = np.zeros(len(rb), np.int64)
-                    np.add.at(back, y, na[x])
-                    ids, count = [ra, rb], [links, back]
-                    y = y + len(ra)
-                reps, links = np.concatenate(ids), np.concatenate(count)
-                label = np.arange(len(reps))
-                while True:  # smallest label on both ends of each link, until nothing changes
-                    low = np.minimum(label[x], label[y])
-                    new = label.copy()
-                    np.minimum.at(new, x, low)
-                    np.minimum.at(new, y, low)
-                    new = new[new]
-                    if (new == label).all():
-                        break
-                    label = new
-                keep = links > 0
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(reps[keep]), pa.array(links[keep]), pa.array(reps[label][keep])], ["rep", "links", "joined"]
-                )
+                vb = _units(vectors.astype(np.float64))
+                for a in batch.column(4)[i].as_py():
+                    ra, na, va = own[a]
+                    found = _links(ra, na, _units(va.astype(np.float64)), reps, sizes, vb, least, a == b)
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["rep", "links", "joined"])
 
     return stored(dealt.mapInArrow(run, "rep long, links long, joined long"), "links")
 
 
+def _links(ra, na, va, rb, nb, vb, least: float, same: bool):
+    """Links between two blocks of unit vectors: (ids with a link, vectors linked, smallest place reached); None without any."""
+    x, y = np.nonzero(va @ vb.T >= least)
+    if same:
+        x, y = x[x != y], y[x != y]
+    if not len(x):
+        return None
+    links = np.zeros(len(ra), np.int64)
+    np.add.at(links, x, nb[y])
+    reps = ra
+    if not same:
+        back = np.zeros(len(rb), np.int64)
+        np.add.at(back, y, na[x])
+        reps, links, y = np.concatenate((ra, rb)), np.concatenate((links, back)), y + len(ra)
+    label = np.arange(len(reps))
+    while True:  # smallest label on both ends of each link, until nothing changes
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    keep = links > 0
+    return reps[keep], links[keep], reps[label][keep]
+
+
 def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding).
 
