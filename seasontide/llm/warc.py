@@ -3,15 +3,18 @@
 A payload travels as rows (record, chunk number, bytes) instead of one value. Each
 chunk row carries the SHA-1 and the length of the payload up to its end, so that
 the last chunk of a record holds its digest and no task ever joins a payload
-together. Writing streams the chunks of sorted records into archives in the shared
-folder; reading streams archives back into chunk rows.
+together. Writing streams the chunks of records into archives in the shared folder,
+each record a gzip member of its own as the standard recommends; reading streams
+archives back into chunk rows.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyarrow import fs
@@ -80,6 +83,21 @@ def _unclean(value: str) -> str:
     return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
 
 
+def _member(out, pieces) -> None:
+    """Write one gzip member, piece by piece."""
+    packer = zlib.compressobj(wbits=31)
+    for piece in pieces:
+        out.write(packer.compress(piece))
+    out.write(packer.flush())
+
+
+def _slices(value: pa.Scalar, size: int):
+    """A payload in chunks of the column's own memory: it isn't copied whole."""
+    payload = value.as_buffer() if size else b""
+    for begin in range(0, size, CHUNK):
+        yield payload.slice(begin, min(CHUNK, size - begin))
+
+
 def write(records: DataFrame, folder: str) -> DataFrame:
     """Write archives, one per task, and return their table (path, records, bytes).
 
@@ -93,11 +111,11 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         store, base = _filesystem(folder)
         store.create_dir(base)
-        name, count, out = f"{base}/{uuid.uuid4().hex}.warc", 0, None
+        name, count, out = f"{base}/{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
             for at in range(batch.num_rows):
                 if out is None:
-                    out = store.open_output_stream(name)
+                    out = store.open_output_stream(name, compression=None)
                 page_id, url, kind, refers, size, digest = (batch.column(i)[at].as_py() for i in range(6))
                 head = [
                     f"WARC-Type: {kind}",
@@ -112,13 +130,8 @@ def write(records: DataFrame, folder: str) -> DataFrame:
                     head.append(f"X-Refers-To-Page: {refers}")
                 body = 0 if kind == "revisit" else size
                 head.append(f"Content-Length: {body}")
-                out.write(VERSION + "\r\n".join(head).encode() + b"\r\n\r\n")
-                if body:
-                    # slices of the column's own memory: the payload isn't copied whole
-                    payload = batch.column(6)[at].as_buffer()
-                    for begin in range(0, size, CHUNK):
-                        out.write(payload.slice(begin, min(CHUNK, size - begin)))
-                out.write(b"\r\n\r\n")
+                begin = VERSION + "\r\n".join(head).encode() + b"\r\n\r\n"
+                _member(out, itertools.chain((begin,), _slices(batch.column(6)[at], body), (b"\r\n\r\n",)))
                 count += 1
         if out is not None:
             size = out.tell()
@@ -158,7 +171,7 @@ def read_chunks(archives: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows, held = [], 0
-                with store.open_input_stream(path) as raw:
+                with store.open_input_stream(path, compression="gzip") as raw:
                     stream = _Lines(raw)
                     while (head := _header(stream)) is not None:
                         left, chunk, so_far = int(head["Content-Length"]), 0, 0
