@@ -55,23 +55,19 @@ def root_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("p")),
         "left_anti",
     )
-    levels, most = [steps], messages.count()
+    # a level holds the messages that had not reached their root before it
+    levels, ended, most = [steps], steps.where("up is null"), messages.count()
     while levels[-1].where("up is not null").limit(1).count() and 2 ** (len(levels) - 1) <= most:
-        last = levels[-1]
-        above = last.select(
+        last = levels[-1].where("up is not null")
+        above = last.union(ended).select(
             F.col("tree").alias("t"), F.col("id").alias("u"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("len").alias("len2")
         )
-        levels.append(
-            stored(
-                last.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("u")), "left").select(
-                    "tree", "id", F.col("up2").alias("up"),
-                    (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"),
-                    (F.col("len") + F.coalesce("len2", F.lit(0))).alias("len"),
-                ),
-                "jumps",
-            )
-        )
-    ended = levels[-1].where("up is null").select(F.col("tree").alias("t"), F.col("id").alias("l"), "sum", "len")
+        jumped = last.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("u"))).select(
+            "tree", "id", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("len") + F.col("len2")).alias("len")
+        )
+        levels.append(stored(jumped, "jumps"))
+        ended = ended.union(levels[-1].where("up is null"))
+    ended = ended.select(F.col("tree").alias("t"), F.col("id").alias("l"), "sum", "len")
     chosen = leaves.join(ended, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("l"))).select(
         "tree", F.col("id").alias("leaf"), (F.col("sum") / F.col("len")).alias("path_score")
     )
