@@ -432,17 +432,29 @@ TERMINATION_GROUPS = {
         "feature_longitude",
     ),
     "base prediction signal": ("termination_signal_days", "raw_signed_days", "predicted_days"),
-    "recent trajectory shape": tuple(
-        c for c in T.NUMERIC_FEATURES if c.startswith(("signal_lag", "slope_", "recent_"))
+    "recent trajectory shape": (
+        "signal_lag1",
+        "signal_lag2",
+        "signal_lag3",
+        "slope_1",
+        "slope_2",
+        "slope_3",
+        "recent_mean_3",
+        "recent_std_3",
+        "recent_min_3",
+        "recent_max_3",
+    ),
+    "estimated crossing": (
+        "rolling_linear_crossing_0",
+        "rolling_linear_crossing_minus_0_5",
+        "rolling_spline_crossing_0",
+        "rolling_spline_crossing_minus_0_5",
+        "days_to_rolling_crossing_0",
+        "days_to_rolling_crossing_minus_0_5",
     ),
-    "estimated crossing": tuple(c for c in T.NUMERIC_FEATURES if "crossing" in c),
 }
 
 
-def single_feature_specs(features: Sequence[str]) -> dict[str, tuple[str, ...]]:
-    return {f: (f,) for f in features}
-
-
 def first_hit_events(
     df: DataFrame, key: Sequence[str] = ("test_year", "location_id", "stage_id")
 ) -> DataFrame:

@@ -44,6 +44,7 @@ NUMERIC_FEATURES = (
     "days_to_rolling_crossing_minus_0_5",
 )
 CROSSINGS = (("0", 0.0), ("minus_0_5", -0.5))
+# Fixed value: the rule tag of locked rows.
 RULE_NAME = "learned_ridge_v2.4"
 
 

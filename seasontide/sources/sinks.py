@@ -31,17 +31,22 @@ def pending_weather(
 def land_weather(
     weather: DataFrame, coverage: DataFrame, path: str, start: str, end: str
 ) -> DataFrame:
-    """Write the missing days below ``path``, one partition per day; returns what was written."""
+    """Write the missing days below ``path``, one partition per day.
+
+    Returns the days stored within the range, landed before or now; only their
+    folders are read.
+    """
     spark = weather.sparkSession
+    wanted = F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     try:
-        landed = spark.read.parquet(path).select("date")
+        landed = spark.read.parquet(path).where(wanted).select("date")
     except Exception as error:  # first run: nothing there yet
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         landed = weather.select("date").where(F.lit(False))
     fresh = pending_weather(weather, coverage, landed, start, end)
     write_by_day(fresh, path, "date")
-    return fresh
+    return spark.read.schema(fresh.schema).parquet(path).where(wanted)
 
 
 def write_by_day(df: DataFrame, path: str, day: str) -> None:
