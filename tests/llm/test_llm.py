@@ -331,6 +331,22 @@ def test_vector_duplicates(spark, sf):
     assert grid_join.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_vector_duplicates_many_stretches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    made = [np.round(rng.normal(size=6) + c, 2).tolist() for c in rng.normal(size=(6, 6)) * 3 for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(made)), "vec_id long, embedding array<double>")
+    monkeypatch.setattr(grid_join, "BLOCK", 16)
+    monkeypatch.setattr(grid_join, "STRETCH_BYTES", 1)
+    x = np.array(made)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    low = np.arange(len(x))
+    for _ in range(len(x)):
+        low = np.array([low[n].min() for n in near])
+    for r in grid_join.near_duplicates(frame).collect():
+        assert (r.n_links, r.component_id) == (near[r.vec_id].sum() - 1, low[r.vec_id])
+
+
 # ---- 9 quality, 10 languages
 
 
