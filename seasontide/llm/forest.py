@@ -5,6 +5,8 @@ documents by their row of min-hashes, so that near duplicates stand next to each
 other, the longer their common prefix the nearer. Neighbours with a common prefix of
 LEAST_DEPTH or more are candidates. A region of a tree is a common prefix: the
 shortest that leaves at most REGION documents, down to DEPTH where documents crowd.
+A longer prefix misses more linked pairs, so documents of crowded regions get more
+trees: as many as make a miss at DEPTH no likelier than one at LEAST_DEPTH elsewhere.
 
 Links are confirmed on whole shingle sets, in two rounds. First each document meets
 the centre of its regions (the document that agrees with most of them) and its
@@ -15,6 +17,8 @@ Members of a group need no further links, so that no group's pairs are ever list
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,10 +33,20 @@ REGION, BLOCK = 64, 512
 #: How far below the threshold the share of equal min-hashes may lie: over five standard deviations of it.
 SLACK = 0.2
 
+
+def _all_trees(percent: int) -> int:
+    """Trees that documents of crowded regions need; percentages below 50 count as 50."""
+    s = min(max(percent, 50), 99) / 100
+    return math.ceil(TREES * math.log1p(-(s**LEAST_DEPTH)) / math.log1p(-(s**DEPTH)))
+
+
 _HASHES = TREES * DEPTH
 _rng = np.random.default_rng(977)
 _FACTORS = _rng.integers(1, 2**31, _HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _rng.integers(0, 2**32, _HASHES, dtype=np.uint32)
+_MORE = max(_all_trees(p) for p in range(50, 100)) * DEPTH - _HASHES
+_FACTORS = np.append(_FACTORS, _rng.integers(1, 2**31, _MORE, dtype=np.uint32) * np.uint32(2) + np.uint32(1))
+_SHIFTS = np.append(_SHIFTS, _rng.integers(0, 2**32, _MORE, dtype=np.uint32))
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int):
@@ -55,13 +69,13 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int):
     return np.concatenate(out) if out else np.zeros(0, np.uint64), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _min_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One row of min-hashes per text; texts without shingles must be left out."""
+def _min_hashes(hashes: np.ndarray, bounds: np.ndarray, begin: int = 0, end: int = _HASHES) -> np.ndarray:
+    """One row of min-hashes (``begin`` up to ``end``) per text; texts without shingles must be left out."""
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(bounds) - 1, _HASHES), ">u4")
+    out = np.empty((len(bounds) - 1, end - begin), ">u4")
     with np.errstate(over="ignore"):
-        for j in range(_HASHES):
-            out[:, j] = np.minimum.reduceat((short ^ _SHIFTS[j]) * _FACTORS[j], bounds[:-1])
+        for j in range(begin, end):
+            out[:, j - begin] = np.minimum.reduceat((short ^ _SHIFTS[j]) * _FACTORS[j], bounds[:-1])
     return out
 
 
@@ -99,17 +113,40 @@ def sketch(documents: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _neighbours(classes: DataFrame) -> DataFrame:
+def _more_signatures(sets: DataFrame, trees: int) -> DataFrame:
+    """(rep, signature) of the trees from TREES up to ``trees``, from whole shingle sets."""
+
+    def run(batches):
+        for batch in batches:
+            row = 0
+            while row < batch.num_rows:
+                held, size = [], 0
+                while row + len(held) < batch.num_rows and size < 1 << 17:
+                    held.append(np.frombuffer(batch.column(1)[row + len(held)].as_buffer(), np.uint64))
+                    size += len(held[-1])
+                bounds = np.cumsum([0, *map(len, held)])
+                found = _min_hashes(np.concatenate(held), bounds, _HASHES, trees * DEPTH)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(row, len(held)), pa.array([x.tobytes() for x in found], pa.binary())],
+                    ["rep", "signature"],
+                )
+                row += len(held)
+
+    return sets.where(F.length("shingles") > 0).mapInArrow(run, "rep long, signature binary")
+
+
+def _neighbours(classes: DataFrame, begin: int = 0, end: int = TREES) -> DataFrame:
     """(tree, key, id, near, common): rows of the sorted orders that share a prefix with a neighbour; stored.
 
     ``near`` is the row before, if ``common`` hashes with it are LEAST_DEPTH or more.
-    Ranges of the order end anywhere; rows at an end are kept, as their other
+    The signatures hold the trees ``begin`` up to ``end``. Ranges of the order end anywhere; rows at an end are kept, as their other
     neighbour isn't seen. The order has the id as its last key, so no key is hot.
     """
     part = F.transform(
-        F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
+        F.sequence(F.lit(0), F.lit(end - begin - 1)), lambda t: F.substring(F.col("signature"), t * (4 * DEPTH) + 1, F.lit(4 * DEPTH))
     )
     rows = classes.select(F.posexplode(part).alias("tree", "key"), F.col("rep").alias("id"))
+    rows = rows.withColumn("tree", F.col("tree") + begin)
     ordered = rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id")
 
     def lanes(batch):
@@ -149,7 +186,7 @@ def _neighbours(classes: DataFrame) -> DataFrame:
 
 
 def _regions(rows: DataFrame) -> DataFrame:
-    """Rows (tree, region, key, id): each in the region of adaptive depth; regions of one are left out."""
+    """Rows (tree, region, key, id, modal, size): each in the region of adaptive depth, regions of one too."""
     groups = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
     prefix = lambda d: F.substring("key", 1, 4 * d)
     depth = F.lit(DEPTH)
@@ -163,7 +200,7 @@ def _regions(rows: DataFrame) -> DataFrame:
     region = F.substring(F.col("key"), F.lit(1), depth * 4)
     placed = counted.select("tree", "key", "n", region.alias("region"))
     sizes = placed.groupBy("tree", "region").agg(F.sum("n").alias("size"), F.max_by("key", F.struct("n", "key")).alias("modal"))
-    placed = placed.join(sizes.where("size > 1"), ["tree", "region"])
+    placed = placed.join(sizes, ["tree", "region"])
     return stored(
         rows.select("tree", "key", "id").join(placed.select("tree", "key", "region", "modal", "size"), ["tree", "key"]),
         "regions",
@@ -370,8 +407,9 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     they link with nothing (component null, kept true). An empty table gives no rows.
 
     Sets are compared by 64-bit hashes of shingles. A linked pair is seen unless all
-    TREES prefixes differ: at the threshold of 80 (85) percent about 1e-5 (3e-7) of
-    pairs, 4e-4 at 85 where regions are crowded down to the full DEPTH.
+    TREES prefixes of LEAST_DEPTH differ: at the threshold of 80 (85) percent about 1e-5
+    (3e-7) of pairs, and at most twice that in crowded regions, whose documents have
+    38 (33) trees.
     """
     prints = sketch(documents, k)
     keys = ["n_shingles", "print1", "print2"]
@@ -382,10 +420,18 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
         "classes",
     )
     rows = _neighbours(classes)
-    regions = _regions(rows)
+    placed = _regions(rows)
+    regions = placed.where("size > 1")
+    crowded = placed.where(F.length("region") > 4 * LEAST_DEPTH).select("id").distinct()
     near = percent / 100 - SLACK
-    wanted = regions.select("id").union(rows.where(F.col("common") >= LEAST_DEPTH).select("near")).distinct()
+    wanted = placed.select("id").union(rows.where(F.col("common") >= LEAST_DEPTH).select("near")).distinct()
     sets = shingle_sets(documents, wanted, k)
+    trees = _all_trees(percent)
+    if trees > TREES:
+        # both documents of a pair that shares a crowded prefix are in these trees
+        more = _neighbours(_more_signatures(sets.join(crowded, "id", "left_semi"), trees), TREES, trees)
+        rows = rows.union(more)
+        regions = stored(regions.union(_regions(more).where("size > 1")), "regions")
     first = stored(_confirm(_similar(_pairs(rows, regions), classes, near), sets, percent), "links")
     parts = stored(components(first), "parts")
 

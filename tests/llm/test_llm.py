@@ -194,6 +194,17 @@ def test_near_duplicates_crowded(spark):
     assert {r.doc_id: r.component_id for r in forest.near_duplicates(frame, 3, 85).collect()} == want
 
 
+def test_near_duplicates_crowded_threshold(spark):
+    """Pairs of exactly 80 % among 1,400 documents of one template, which are alike by 77 % and link with no other."""
+    template = " ".join(f"t{i}" for i in range(114))
+    rows = [
+        (i, f"{template} " + " ".join([f"p{i // 2}x{j}" for j in range(2)] + [f"o{i}x{j}" for j in range(14)])) for i in range(1400)
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r.doc_id: r.component_id for r in forest.near_duplicates(frame, 5, 80).collect()}
+    assert found == {i: i - i % 2 for i, _ in rows}
+
+
 def test_near_duplicates_awkward(odd, none):
     found = {r.doc_id: r for r in forest.near_duplicates(odd, 3, 85).collect()}
     assert found[2].n_shingles == found[4].n_shingles == 0 and found[4].component_id == 4
