@@ -22,6 +22,7 @@ from seasontide.plans.source_queries import prepared
 
 CFG = Settings(manual_events=False)
 GBT = {"maxIter": 4, "maxDepth": 3}
+#: Seasons of the driver tables that have earlier events; the queries take every known season.
 FOLDS = (1996, 1997, 1998, 1999, 2000, 2001)
 
 
@@ -95,7 +96,7 @@ def _(spark, sf):
 
 def folds(spark, sf):
     events, daily = stored(spark, sf)
-    return M.oof_trajectories(events, daily, small_gbt, CFG, FOLDS)
+    return M.oof_trajectories(events, daily, small_gbt, CFG)
 
 
 @query("oof_trajectories", "F8")
@@ -163,7 +164,7 @@ def _(spark, sf):
 
     def run(inputs):
         cfg = dataclasses.replace(CFG, features=tuple(inputs))
-        fold = M.oof_trajectories(events, daily, small_gbt, cfg, (1999,))
+        fold = M.oof_trajectories(events, daily, small_gbt, cfg)
         return fold.withColumn("error_days", F.col(M.RAW) - F.col("actual_days_to_event"))
 
     return M.ablate(run, MODEL_FEATURES, M.BASE_GROUPS, keys)
@@ -173,7 +174,10 @@ def bundle(spark, sf):
     events, daily = stored(spark, sf)
     matrix = reliable(training_matrix(events, daily, TEST_DATE, CFG))
     base = small_gbt(matrix, CFG.features, CFG.target)
-    oof = reliable(M.oof_trajectories(events, daily, small_gbt, CFG, (1998,)))
+    # every season, but only what was known at the cutoff
+    prior = events.where(F.col("stage_date") < F.lit(TEST_DATE).cast("timestamp_ntz"))
+    oof = M.oof_trajectories(prior, daily, small_gbt, CFG)
+    oof = reliable(oof.where(F.col("prediction_date") < F.lit(TEST_DATE).cast("date")))
     ridge = M.fit_ridge(G.termination_features(oof), "actual_days_to_event", CFG.ridge_alpha)
     path = scratch_dir(spark)
     manifest = M.save_bundle(path, base, ridge, CFG, TEST_DATE, {"events": events, "matrix": matrix})

@@ -167,3 +167,25 @@ def test_window_years_must_be_positive(spark, folds):
 def test_model_queries_return_rows(spark, sf):
     for name in ("fit_random_forest", "monotone_audit", "hindcast"):
         assert QUERIES[name].run(spark, sf).count() > 0
+
+
+def test_ablation_and_bundle_take_every_season(spark, sf, folds, monkeypatch):
+    events, daily, oof = folds
+
+    def known(events, daily, fit, cfg, years=None):
+        last = events.agg(F.max("stage_date")).first()[0]
+        rows = oof.where(F.col("actual_stage_date") <= F.lit(last))
+        return rows.where(F.col("trajectory_year").isin(list(years))) if years else rows
+
+    monkeypatch.setattr(Q, "stored", lambda spark, sf: (events, daily))
+    monkeypatch.setattr(Q.M, "oof_trajectories", known)
+    table = QUERIES["ablate_base_groups"].run(spark, sf).collect()
+    assert len(table) == len(M.BASE_GROUPS) and all(r.n_matched == oof.count() for r in table)
+    asked = []
+    ridge = M.fit_ridge
+    monkeypatch.setattr(Q.M, "fit_ridge", lambda df, *a: asked.append(df) or ridge(df, *a))
+    Q.bundle(spark, sf)
+    # nothing from after the training cutoff
+    visible = oof.where((F.col("actual_stage_date") < Q.TEST_DATE) & (F.col("prediction_date") < Q.TEST_DATE))
+    assert asked[0].count() == visible.count()
+    assert asked[0].select("trajectory_year").distinct().count() > 1
