@@ -38,9 +38,8 @@ def base_statistics(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
     n_shouts counts upper-case letters and exclamation marks; no base rule uses it.
 
     A null text counts as empty: all counts are 0 and base_failed is true. Windows
-    of three words are compared by 64-bit hashes of which the low bits give way to
-    the window's place (just as many as the text's length needs), so that one sort
-    of a plain array finds the repeated ones; nothing is exploded or shuffled.
+    of three words are compared by whole 64-bit hashes, whatever the text's length;
+    one sort of (hash, place) finds the repeated ones, nothing is exploded or shuffled.
     """
     text = F.coalesce("text", F.lit(""))
     trimmed = F.regexp_replace(text, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
@@ -59,23 +58,19 @@ def base_statistics(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFra
         "doc_id", *keep, "word_chars", "n_symbols", "n_shouts", "_w",
         F.size("_w").cast("long").alias("n_words"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        # low bits that hold a place in the text
-        (F.pow(F.lit(2.0), F.length(F.bin(F.size("_w")))).cast("long") - 1).alias("_mask"),
     )
     marked = F.transform(
         F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))),
-        lambda w, i: F.xxhash64(w, _at("_w", i + 1), _at("_w", i + 2))
-        .bitwiseAND(F.bitwise_not(F.col("_mask")))
-        .bitwiseOR(i.cast("long")),
+        lambda w, i: F.struct(
+            F.xxhash64(w, _at("_w", i + 1), _at("_w", i + 2)).alias("h"), i.cast("long").alias("at")
+        ),
     )
     step3 = step2.withColumn("_p", F.sort_array(marked)).drop("_w")
-    same = lambda x, y: F.coalesce(
-        x.bitwiseXOR(y).bitwiseAND(F.bitwise_not(F.col("_mask"))) == 0, F.lit(False)
-    )
+    same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     repeated = F.filter(
         "_p", lambda p, i: same(p, _at("_p", i + 1)) | ((i > 0) & same(p, _at("_p", F.greatest(i - 1, F.lit(0)))))
     )
-    step4 = step3.withColumn("_r", F.sort_array(F.transform(repeated, lambda p: p.bitwiseAND(F.col("_mask")))))
+    step4 = step3.withColumn("_r", F.sort_array(F.transform(repeated, lambda p: p["at"])))
     covered = F.aggregate(
         "_r",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),

@@ -371,6 +371,13 @@ def test_quality_awkward(spark, sf, odd, none):
     assert [r.doc_id for r in quality.rate(frame).where("not kept").collect()] == [1000]
 
 
+def test_repeats_of_long_texts(spark):
+    """Two windows whose hashes agree in all but the last 20 bits, in a text of more than 2**19 words."""
+    words = ["q257529", "left", "right", *(f"w{i}" for i in range(600_000)), "q14504582", "left", "right"]
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words + words[:3]))], "doc_id long, text string")
+    assert {r.doc_id: r.n_repeat_words for r in quality.base_statistics(frame).collect()} == {1: 0, 2: 6}
+
+
 def test_inverse_matrix(spark):
     from pyspark.sql import functions as F
 
