@@ -7,7 +7,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasontide.llm import chat, forest, grid_join, language, mixing, pieces, quality, suffixes, token_files, warc
+from seasontide.llm import (
+    centroids, chat, forest, grid_join, language, mixing, packing, pieces, quality, ranked, suffixes, token_files, warc,
+)
 from seasontide.llm.common import table
 
 
@@ -62,6 +64,18 @@ def op10_languages(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked.search(table(spark, sf, "benchmark"), table(spark, sf, "documents"), k=50)
+
+
+def op12_pack_sequences(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return centroids.summarised(table(spark, sf, "embeddings"))
+
+
 QUERIES = {
     "op1_warc_records": (op1_warc_records, warc.ORACLE),
     "op2_token_files": (op2_token_files, None),
@@ -73,6 +87,9 @@ QUERIES = {
     "op8_vector_duplicates": (op8_vector_duplicates, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_languages": (op10_languages, None),
+    "op11_ranked_search": (op11_ranked_search, ranked.oracle()),
+    "op12_pack_sequences": (op12_pack_sequences, None),
+    "op13_centroid_clusters": (op13_centroid_clusters, centroids.oracle()),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
