@@ -14,12 +14,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seasontide.functions.checkpoints import reliable
 from seasontide.functions.ordering import join_on
 
 BINS_PER_UNIT = 1024
 REACH = 2048.0
 
 
+def _bin(value: str):
+    return F.floor(F.greatest(F.least(F.col(value), F.lit(REACH)), F.lit(-REACH)) * BINS_PER_UNIT)
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], wanted: Mapping[str, tuple[str, float]]
 ) -> DataFrame:
@@ -44,16 +49,7 @@ def exact_percentiles(
         .select(*keys, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
-    counts = (
-        values.groupBy(*keys, "_m", "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_b",
-            F.floor(
-                F.greatest(F.least(F.col("_v"), F.lit(REACH)), F.lit(-REACH)) * BINS_PER_UNIT
-            ),
-        )
-    )
+    counts = values.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bin("_v"))
     group = Window.partitionBy(*keys, "_m")
     before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     prob_table = F.array(*[F.array(*[F.lit(float(p)) for p in ps]) for ps in probs])
@@ -138,3 +134,66 @@ def with_percentiles(
     return join_on(summary, exact_percentiles(detail, keys, wanted), keys)
 
 
+
+
+def prefix_medians(
+    df: DataFrame,
+    group: str,
+    columns: Sequence[str],
+    cutoffs: Sequence[int],
+    window: int | None = None,
+) -> DataFrame:
+    """(cutoff, column, median): exact medians of the rows whose ``group`` is below each cutoff.
+
+    With ``window``, ``group`` lies at most that far below.
+
+    ``column`` is the place in ``columns``; columns without a value are absent.  Rows
+    are counted by value once, whatever the number of cutoffs; only the counts of bins
+    and of the values in the middle bins are multiplied.
+    """
+    sees = lambda c, g: (g < c) & (F.lit(True) if window is None else g >= c - window)
+    later = lambda g: F.filter(
+        F.array(*[F.lit(int(c)) for c in cutoffs]).cast("array<int>"), lambda c: sees(c, F.col(g))
+    )
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
+    ).cast("array<struct<m: int, v: double>>")
+    counts = reliable(
+        df.select(F.col(group).alias("_g"), F.explode(pairs).alias("_e"))
+        .select("_g", F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v"))
+        .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        .groupBy("_g", "_m", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_b", _bin("_v"))
+    )
+    series = Window.partitionBy("_c", "_m")
+    middle = (
+        counts.groupBy("_g", "_m", "_b")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_c", F.explode(later("_g")))
+        .groupBy("_c", "_m", "_b")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_end", F.sum("_n").over(series.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_total", F.sum("_n").over(series))
+        .withColumn("_lo", F.floor((F.col("_total") - 1) / 2))
+        .withColumn("_hi", F.ceil((F.col("_total") - 1) / 2))
+        .where("_hi >= _end - _n and _lo < _end")
+        .select("_c", "_m", "_b", (F.col("_end") - F.col("_n")).alias("_before"), "_lo", "_hi")
+    )
+    inner = Window.partitionBy("_c", "_m", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    values = (
+        counts.join(middle, ["_m", "_b"])
+        .where(sees(F.col("_c"), F.col("_g")))
+        .groupBy("_c", "_m", "_b", "_before", "_lo", "_hi", "_v")
+        .agg(F.sum("_n").alias("_n"))
+        .withColumn("_end", F.col("_before") + F.sum("_n").over(inner))
+    )
+    holds = lambda rank: F.max(
+        F.when((F.col(rank) < F.col("_end")) & (F.col(rank) >= F.col("_end") - F.col("_n")), F.col("_v"))
+    )
+    found = values.groupBy("_c", "_m").agg(holds("_lo").alias("_a"), holds("_hi").alias("_z"))
+    return found.select(
+        F.col("_c").alias("cutoff"),
+        F.col("_m").alias("column"),
+        (F.col("_a") + (F.col("_z") - F.col("_a")) / 2).alias("median"),
+    )

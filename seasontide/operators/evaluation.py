@@ -384,20 +384,27 @@ def walk_forward_summary(detail: DataFrame) -> DataFrame:
     )
 
 
+def delta_columns(full: str, reduced: str) -> list[Column]:
+    """Error metrics of two runs and their difference, from their errors of the same rows."""
+    mae = [F.avg(F.abs(c)) for c in (full, reduced)]
+    rmse = [S.rms(F.col(c)) for c in (full, reduced)]
+    return [
+        F.count(reduced).alias("n_matched"),
+        mae[0].alias("full_mae_days"),
+        mae[1].alias("ablated_mae_days"),
+        (mae[1] - mae[0]).alias("delta_mae"),
+        rmse[0].alias("full_rmse_days"),
+        rmse[1].alias("ablated_rmse_days"),
+        (rmse[1] - rmse[0]).alias("delta_rmse"),
+    ]
+
+
 def matched_delta(full: DataFrame, reduced: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Error metrics of two runs over their common keys, and the difference."""
     both = full.select(*keys, F.col("error_days").alias("_f")).join(
         reduced.select(*keys, F.col("error_days").alias("_r")), list(keys)
     )
-    return both.agg(
-        F.count("_r").alias("n_matched"),
-        F.avg(F.abs("_f")).alias("full_mae_days"),
-        F.avg(F.abs("_r")).alias("ablated_mae_days"),
-        (F.avg(F.abs("_r")) - F.avg(F.abs("_f"))).alias("delta_mae"),
-        S.rms(F.col("_f")).alias("full_rmse_days"),
-        S.rms(F.col("_r")).alias("ablated_rmse_days"),
-        (S.rms(F.col("_r")) - S.rms(F.col("_f"))).alias("delta_rmse"),
-    )
+    return both.agg(*delta_columns("_f", "_r"))
 
 
 # ---------------------------------------------------------------- event windows

@@ -156,12 +156,14 @@ def label_days(
     horizon: int,
     in_window: Column,
     stages: Sequence[int] = (1, 2, 3, 4, 5),
+    flag: str | None = None,
 ) -> DataFrame:
     """``augment`` of the as-of rows and the post-event rows, in one pass over the weather.
 
     Per row and stage, an event of the last ``horizon`` days wins over the next
     one, so nothing is joined twice and no shuffle is needed to drop the loser.
-    Needs one weather row per (date, location).
+    Needs one weather row per (date, location).  ``flag`` names a column that tells
+    post-event rows.
     """
     date = F.col("date")
     day = date.cast("timestamp_ntz")
@@ -195,6 +197,7 @@ def label_days(
             F.col("_e.day_of_year").alias("day_of_year"),
             F.col("_signed").alias("signed_days_to_event"),
             F.when(after, 0).otherwise(F.greatest("_signed", F.lit(0))).alias("days_to_event"),
+            *([after.alias(flag)] if flag else []),
         )
     )
 
@@ -229,6 +232,36 @@ def training_matrix(
     return labelled.dropna(subset=list(dict.fromkeys([cfg.target, *features])))
 
 
+def fold_matrix(events: DataFrame, weather: DataFrame, cfg: Settings = Settings()) -> DataFrame:
+    """The labelled rows of all seasons, each with the date of its label, for ``fold_rows``.
+
+    A row takes its label from the events of its own season.  Before January 1 of a
+    year either all events of a season are known or none, so the label does not depend
+    on the fold, and one stored matrix serves all of them.
+    """
+    order = [c for c in ("place_id", *cfg.features) if c in weather.columns]
+    known = keep_first(weather, ["date", "location_id"], order)
+    labelled = label_days(known, events, cfg.post_event_days, F.lit(True), flag="after_event")
+    return labelled.dropna(subset=list(dict.fromkeys([cfg.target, *cfg.features])))
+
+
+def fold_rows(matrix: DataFrame, year: int, cfg: Settings = Settings()) -> DataFrame:
+    """``training_matrix`` before January 1 of ``year``, as a filter of ``fold_matrix``.
+
+    Rows and labels lie before the cutoff; as-of rows also within the training window.
+    """
+    if cfg.window_years is not None and cfg.window_years <= 0:
+        raise ValueError("window years must be positive")
+    cutoff = F.lit(f"{year}-01-01").cast("date")
+    start = (
+        F.lit(cfg.legacy_start).cast("date")
+        if cfg.window_years is None
+        else S.years_before(f"{year}-01-01", cfg.window_years)
+    )
+    known = (F.col("date") < cutoff) & (F.col("stage_date") < cutoff.cast("timestamp_ntz"))
+    return matrix.where(known & (F.col("after_event") | (F.col("date") >= start)))
+
+
 def training_matrix_local(
     events: DataFrame,
     daily: DataFrame,
@@ -302,6 +335,36 @@ def build_trajectory(
     return add_stages(season.join(active, "location_id", "left_semi"), ids)
 
 
+def fold_seasons(
+    daily: DataFrame,
+    events: DataFrame,
+    years: Sequence[int],
+    cfg: Settings = Settings(),
+) -> DataFrame:
+    """The season rows that the folds of ``years`` score, once per target id, with their actual date and cutoff.
+
+    A location takes part in the years in which it has an event; a (year, location,
+    target) without one has nothing to compare with and is left out.  All years come
+    from one scan and one join.
+    """
+    start, end = (F.lit(x) for x in cfg.trajectory_season)
+    day = F.date_format("date", "MM-dd")
+    year = F.year("date")
+    season = daily.where(year.isin(list(years)) & (day >= start) & (day <= end)).withColumn("trajectory_year", year)
+    actual = (
+        events.where(F.col("stage_id").isin(list(cfg.target_ids)))
+        .groupBy(F.year("stage_date").alias("trajectory_year"), "location_id", F.col("stage_id").cast("int").alias("stage_id"))
+        .agg(F.min("stage_date").alias("actual_stage_date"))
+    )
+    # at most one row per target id and location, so a hot location of one year meets four rows
+    return season.join(actual, ["trajectory_year", "location_id"]).withColumns(
+        {
+            "model_train_cutoff_date": F.make_date("trajectory_year", F.lit(1), F.lit(1)),
+            "model_train_end_year": F.col("trajectory_year") - 1,
+        }
+    )
+
+
 def restrict_to_plan(df: DataFrame, plan: DataFrame, day: str = "date") -> DataFrame:
     """Rows whose (day, location) is scheduled; one join for all dates."""
     wanted = plan.select(F.col("prediction_date").alias(day), "location_id")

@@ -13,7 +13,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +22,13 @@ from seasontide.functions import scalars as S
 from seasontide.functions.checkpoints import reliable
 from seasontide.functions.ordering import keep_first
 from seasontide.functions.quantiles import exact_percentiles
+from seasontide.operators import calibrator as C
 from seasontide.operators import termination as T
 from seasontide.operators.audits import require_inference
-from seasontide.operators.evaluation import collapse_predictions, matched_delta
+from seasontide.operators.calibrator import RidgeCalibrator
+from seasontide.operators.evaluation import collapse_predictions, delta_columns, matched_delta
 from seasontide.operators.events import add_output_names
-from seasontide.operators.frames import add_stages, build_trajectory, training_matrix
+from seasontide.operators.frames import add_stages, fold_matrix, fold_rows, fold_seasons
 
 RAW = "raw_signed_days"
 log = logging.getLogger(__name__)
@@ -88,8 +90,11 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str]) -> DataF
     return scored.withColumn(RAW, F.when(known, F.col(RAW)))
 
 
-def format_predictions(df: DataFrame) -> DataFrame:
-    """Business output of scored rows: clipped days and the predicted calendar day."""
+def format_predictions(df: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Business output of scored rows: clipped days and the predicted calendar day.
+
+    ``carried`` columns go along; a carried trajectory_year replaces that of the date.
+    """
     day = F.to_date(F.col("date" if "date" in df.columns else "prediction_date"))
     ids = [c for c in ("place_id", "location_id") if c in df.columns]
     return df.select(
@@ -98,7 +103,8 @@ def format_predictions(df: DataFrame) -> DataFrame:
         "longitude",
         *ids,
         day.alias("prediction_date"),
-        F.year(day).alias("trajectory_year"),
+        *([] if "trajectory_year" in carried else [F.year(day).alias("trajectory_year")]),
+        *carried,
         F.col(RAW),
         S.floor_at_zero(F.col(RAW)).alias("predicted_days"),
     ).withColumn(
@@ -150,43 +156,6 @@ def conformal_interval(
 # ---------------------------------------------------------------- ridge calibrator
 
 
-@dataclass(frozen=True)
-class RidgeCalibrator:
-    """Median impute, standardise, one-hot and ridge, as plain numbers."""
-
-    features: tuple[str, ...]
-    medians: tuple[float, ...]
-    means: tuple[float, ...]
-    scales: tuple[float, ...]
-    weights: tuple[float, ...]
-    categories: tuple[str, ...]
-    category_weights: tuple[float, ...]
-    intercept: float
-
-    def expression(self) -> Column:
-        total = F.lit(self.intercept)
-        for c, median, mean, scale, weight in zip(
-            self.features, self.medians, self.means, self.scales, self.weights
-        ):
-            value = F.coalesce(S.null_if_nan(F.col(c).cast("double")), F.lit(median))
-            total = total + (value - mean) / scale * weight
-        for category, weight in zip(self.categories, self.category_weights):
-            total = total + F.when(F.col("stage") == category, F.lit(weight)).otherwise(0.0)
-        return total
-
-    def transform(self, df: DataFrame, output: str = "learned_days_remaining") -> DataFrame:
-        return df.withColumn(output, self.expression())
-
-    def to_json(self) -> str:
-        return json.dumps(asdict(self))
-
-    @classmethod
-    def from_json(cls, text: str) -> RidgeCalibrator:
-        return cls(
-            **{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()}
-        )
-
-
 def fit_ridge(
     df: DataFrame,
     target: str,
@@ -194,66 +163,16 @@ def fit_ridge(
     features: Sequence[str] = T.NUMERIC_FEATURES,
     with_stage: bool = True,
 ) -> RidgeCalibrator:
-    """Fit the calibrator on trajectory features.
+    """Fit the calibrator on trajectory features: one cutoff behind all rows.
 
-    Medians are exact and come from value counts; means, deviations and the
-    normal equations are tree aggregates.  Only those sums reach the driver.
+    Medians are exact and come from value counts; the rest is solved from one matrix
+    of sums.  ``df`` is read three times.
     """
-    known = df.where(F.col(target).isNotNull()).select(
-        *[S.null_if_nan(F.col(c).cast("double")).alias(c) for c in features],
-        F.col("stage"),
-        F.col(target).cast("double").alias("_y"),
-    )
-    median_row = exact_percentiles(known, [], {c: (c, 0.5) for c in features}).first().asDict()
-    used = [c for c in features if median_row[c] is not None]
-    filled = known.select(
-        *[F.coalesce(F.col(c), F.lit(median_row[c])).alias(c) for c in used], "stage", "_y"
-    )
-    stats = (
-        filled.agg(
-            F.count("_y").alias("n"),
-            F.stddev_pop("_y").alias("sd"),
-            *[F.avg(c).alias(f"m_{c}") for c in used],
-            *[F.stddev_pop(c).alias(f"s_{c}") for c in used],
-        )
-        .first()
-        .asDict()
-    )
-    if not stats["n"]:
+    whole = df.withColumn("_season", F.lit(0))
+    sums = C.season_sums(whole, "_season", target, features, cutoffs=[1])
+    if not sums.cutoffs:
         raise ValueError("no rows to fit the calibrator")
-    scales = [stats[f"s_{c}"] if stats[f"s_{c}"] > 1e-12 else 1.0 for c in used]
-    # one value per target id
-    categories = (
-        sorted(r["stage"] for r in filled.select("stage").distinct().collect() if r["stage"])
-        if with_stage
-        else []
-    )
-    design = filled.select(
-        *[((F.col(c) - stats[f"m_{c}"]) / s).alias(c) for c, s in zip(used, scales)],
-        *[(F.col("stage") == c).cast("double").alias(f"stage_{c}") for c in categories],
-        "_y",
-    )
-    inputs = [*used, *[f"stage_{c}" for c in categories]]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="_x").transform(design)
-    fitted = LinearRegression(
-        featuresCol="_x",
-        labelCol="_y",
-        solver="normal",
-        standardization=False,
-        elasticNetParam=0.0,
-        regParam=alpha * (stats["sd"] or 1.0) / stats["n"],
-    ).fit(vectors.select("_x", "_y"))
-    weights = [float(w) for w in fitted.coefficients]
-    return RidgeCalibrator(
-        features=tuple(used),
-        medians=tuple(float(median_row[c]) for c in used),
-        means=tuple(float(stats[f"m_{c}"]) for c in used),
-        scales=tuple(float(s) for s in scales),
-        weights=tuple(weights[: len(used)]),
-        categories=tuple(categories),
-        category_weights=tuple(weights[len(used) :]),
-        intercept=float(fitted.intercept),
-    )
+    return C.solve(sums, 1, alpha, with_stage=with_stage)
 
 
 # ---------------------------------------------------------------- chronological folds
@@ -269,15 +188,19 @@ def fit_for_cutoff(
     year: int,
     fit: Fit = fit_gbt,
     cfg: Settings = Settings(),
+    matrix: DataFrame | None = None,
 ) -> tuple[PipelineModel, dict]:
-    """Model trained strictly before January 1 of ``year``, with its trace values."""
+    """Model trained strictly before January 1 of ``year``, with its trace values.
+
+    ``matrix`` is a stored ``frames.fold_matrix``, of which the fold is a filter.
+    """
     cutoff = f"{year}-01-01"
-    prior = events.where(F.col("stage_date") < F.lit(cutoff).cast("timestamp_ntz"))
-    # read again for every tree level
-    matrix = reliable(training_matrix(prior, features, cutoff, cfg))
-    if matrix.isEmpty():
+    if matrix is None:
+        matrix = reliable(fold_matrix(events, features, cfg))
+    rows = fold_rows(matrix, year, cfg)
+    if rows.isEmpty():
         raise EmptyFold(f"no training rows before {cutoff}")
-    model = fit(matrix, cfg.features, cfg.target)
+    model = fit(rows, cfg.features, cfg.target)
     return model, {"model_train_cutoff_date": cutoff, "model_train_end_year": year - 1}
 
 
@@ -288,53 +211,43 @@ def actual_days(df: DataFrame) -> Column:
     )
 
 
-def season_actuals(events: DataFrame) -> DataFrame:
-    """Earliest event per (year, location, stage)."""
-    return events.groupBy(F.year("stage_date").alias("trajectory_year"), "location_id", "stage_id").agg(
-        F.min("stage_date").alias("actual_stage_date")
-    )
-
-
 def oof_trajectories(
     events: DataFrame,
     features: DataFrame,
     fit: Fit = fit_gbt,
     cfg: Settings = Settings(),
     years: Iterable[int] | None = None,
+    matrix: DataFrame | None = None,
 ) -> DataFrame:
     """Trajectories of each year scored by a model that saw only earlier events.
 
-    Pass a stored feature table: every fold reads it.  The loop runs over a
-    handful of seasons, each needs its own model; everything inside is distributed.
-    A season without a training row before it is left out, with a warning.
+    Labels and season rows are built once for all folds; ``matrix`` is a stored
+    ``frames.fold_matrix`` if the caller has one.  The loop runs over a handful of
+    seasons, each needs its own model.  A season without a training row before it is
+    left out, with a warning.
     """
     # one row per season
     known = sorted(r[0] for r in events.select(F.year("stage_date")).distinct().collect() if r[0])
     years = [y for y in (years or known) if any(k < y for k in known)]
-    start_md, end_md = cfg.trajectory_season
+    if not years:
+        raise ValueError("no season has earlier events")
+    if matrix is None:
+        matrix = reliable(fold_matrix(events, features, cfg))
+    kept = [c for c in features.columns if c not in ("trajectory_year", "stage_id", "actual_stage_date")]
+    trace = ["trajectory_year", "model_train_cutoff_date", "model_train_end_year", "actual_stage_date"]
+    seasons = reliable(fold_seasons(features.select(*kept), events, years, cfg))
     folds = None
     for year in years:
         try:
-            model, trace = fit_for_cutoff(events, features, year, fit, cfg)
+            model, _ = fit_for_cutoff(events, features, year, fit, cfg, matrix)
         except EmptyFold as empty:
             log.warning("fold %s is left out: %s", year, empty)
             continue
-        season = build_trajectory(features, events, year, cfg.target_ids, f"{year}-{end_md}")
-        season = season.where(F.col("date") >= F.lit(f"{year}-{start_md}").cast("date"))
-        scored = format_predictions(score(model, season, cfg.features)).withColumns(
-            {
-                "trajectory_year": F.lit(year),
-                "model_train_cutoff_date": F.lit(trace["model_train_cutoff_date"]).cast("date"),
-                "model_train_end_year": F.lit(trace["model_train_end_year"]),
-            }
-        )
+        scored = format_predictions(score(model, seasons.where(F.col("trajectory_year") == year), cfg.features), trace)
         folds = scored if folds is None else folds.unionByName(scored)
     if folds is None:
-        raise ValueError("no season has earlier events")
-    matched = folds.join(
-        season_actuals(events), ["trajectory_year", "location_id", "stage_id"]
-    )
-    return matched.withColumn("actual_days_to_event", actual_days(matched))
+        raise ValueError("no season has training rows before it")
+    return folds.withColumn("actual_days_to_event", actual_days(folds))
 
 
 def _chained(
@@ -374,16 +287,14 @@ def _apply_models(
 def walk_forward_models(
     features: DataFrame, year: str, cfg: Settings = Settings(), target: str = "actual_days_to_event"
 ) -> dict[int, RidgeCalibrator]:
-    """One calibrator per season with labelled earlier seasons; others have none and stay base."""
+    """One calibrator per season with labelled earlier seasons; others have none and stay base.
+
+    All seasons are solved from one set of sums.
+    """
     # one row per season
-    counted = features.groupBy(year).agg(F.count(target)).collect()
-    seasons = sorted(r[0] for r in counted if r[0] is not None)
-    labelled = {r[0] for r in counted if r[0] is not None and r[1]}
-    return {
-        y: fit_ridge(features.where(F.col(year) < y), target, cfg.ridge_alpha)
-        for y in seasons
-        if any(known < y for known in labelled)
-    }
+    seasons = [r[0] for r in features.select(year).distinct().collect() if r[0] is not None]
+    sums = C.season_sums(features, year, target, cutoffs=sorted(seasons))
+    return {y: C.solve(sums, y, cfg.ridge_alpha) for y in sums.cutoffs}
 
 
 def walk_forward_termination(
@@ -474,27 +385,52 @@ def first_hit_events(
     )
 
 
-def termination_ablation_run(
+def ablate_calibrator(
     features: DataFrame,
+    groups: Mapping[str, Sequence[str]],
     inputs: Sequence[str],
     year: str = "trajectory_year",
     cfg: Settings = Settings(),
     target: str = "actual_days_to_event",
+    name: str = "feature_group",
 ) -> DataFrame:
-    """First-hit events of a walk-forward calibrator limited to some inputs."""
+    """Walk-forward calibrators without each group of inputs against those with all; worst loss first.
+
+    One set of sums solves every season and group, and one aggregate over the stored
+    trajectory features finds the first hits of all of them.  Runs are compared on the
+    trajectories that both reach.  A season without earlier labels has no decision.
+    """
     numeric = [c for c in inputs if c != "stage"]
-    seasons = sorted(r[0] for r in features.select(year).distinct().collect() if r[0] is not None)
-    models = {
-        y: fit_ridge(
-            features.where(F.col(year) < y), target, cfg.ridge_alpha, numeric, "stage" in inputs
+    sums = C.season_sums(features, year, target, numeric)
+    runs = [(), *groups.values()]
+    key = [year, "location_id", "stage_id"]
+    hits = []
+    for i, removed in enumerate(runs):
+        kept = [c for c in numeric if c not in removed]
+        models = {
+            y: C.solve(sums, y, cfg.ridge_alpha, kept, "stage" in inputs and "stage" not in removed)
+            for y in sums.cutoffs
+        }
+        learned = _chained(models, F.col(year), "int")
+        # NULL without a model, so no hit
+        hit = learned - cfg.termination_threshold <= 0
+        hits.append(F.min(F.when(hit, F.col("prediction_date"))).alias(f"_d{i}"))
+    decided = features.groupBy(*key).agg(*hits, F.min("actual_stage_date").alias("_actual"))
+
+    def error(i: int) -> Column:
+        return S.days_between(F.col(f"_d{i}").cast("timestamp_ntz"), F.col("_actual").cast("timestamp_ntz"))
+
+    pairs = [
+        F.struct(
+            F.lit(label).alias(name),
+            F.lit(", ".join(removed)).alias("removed_features"),
+            error(0).alias("_f"),
+            error(i).alias("_r"),
         )
-        for y in seasons[1:]
-    }
-    learned = _chained(models, F.col(year), "int")
-    adjusted = S.floor_at_zero(learned - cfg.termination_threshold)
-    return first_hit_events(
-        features.withColumn("adjusted", adjusted), (year, "location_id", "stage_id")
-    )
+        for i, (label, removed) in enumerate(groups.items(), 1)
+    ]
+    both = decided.select(F.explode(F.array(*pairs)).alias("_p")).select("_p.*").where("_f IS NOT NULL AND _r IS NOT NULL")
+    return both.groupBy(name, "removed_features").agg(*delta_columns("_f", "_r")).orderBy(F.desc("delta_rmse"), name)
 
 
 def ablate(
