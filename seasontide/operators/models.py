@@ -21,7 +21,6 @@ from seasontide.config import TARGET_IDS, Settings
 from seasontide.functions import scalars as S
 from seasontide.functions.checkpoints import reliable
 from seasontide.functions.ordering import keep_first
-from seasontide.functions.quantiles import exact_percentiles
 from seasontide.operators import calibrator as C
 from seasontide.operators import termination as T
 from seasontide.operators.audits import require_inference
@@ -29,6 +28,7 @@ from seasontide.operators.calibrator import RidgeCalibrator
 from seasontide.operators.evaluation import collapse_predictions, delta_columns, matched_delta
 from seasontide.operators.events import add_output_names
 from seasontide.operators.frames import add_stages, fold_matrix, fold_rows, fold_seasons
+from seasontide.operators.intervals import interval_width, steps, thresholds
 
 RAW = "raw_signed_days"
 log = logging.getLogger(__name__)
@@ -116,14 +116,19 @@ def monotone_audit(
     model: PipelineModel,
     df: DataFrame,
     feature: str,
-    grid: Sequence[float],
     features: Sequence[str],
+    grid: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Per stage: rows checked and steps at which the prediction rises along the grid.
+    """Per stage: rows checked and steps at which the prediction rises with the feature.
 
-    Each grid value is scored as one more column of the same row, so nothing is
-    shuffled and rows are not multiplied.
+    Without a grid the values are those between which the ensemble's own thresholds
+    lie, so every step of the prediction is seen and the audit is exact.  There are
+    at most as many as the trainer's bins.  Each value is scored as one more column
+    of the same row, so nothing is shuffled and rows are not multiplied.  Rows with
+    another feature missing have no prediction and no step.
     """
+    if grid is None:
+        grid = steps(thresholds(model, list(features).index(feature)))
     out = df.select("*", F.col("stage_id").alias("_stage"))
     names = []
     for i, value in enumerate(grid):
@@ -132,20 +137,24 @@ def monotone_audit(
         out = out.withColumnRenamed(RAW, names[-1])
     rises = F.lit(0)
     for before, after in zip(names, names[1:]):
-        rises = rises + (F.col(after) > F.col(before) + 1e-9).cast("int")
+        rises = rises + F.coalesce((F.col(after) > F.col(before) + 1e-9).cast("int"), F.lit(0))
     return out.groupBy(F.col("_stage").alias("stage_id")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum(rises).alias("n_violations"),
         F.count_if(rises > 0).alias("n_rows_violating"),
+        F.lit(len(grid)).alias("n_values"),
     )
 
 
 def conformal_interval(
     predictions: DataFrame, calibration: DataFrame, alpha: float, pred: str = "pred"
 ) -> DataFrame:
-    """Prediction +- the (1 - alpha) quantile of the absolute calibration error."""
-    errors = calibration.select(F.abs("error").alias("_e"))
-    width = exact_percentiles(errors, [], {"_q": ("_e", 1.0 - alpha)}).scalar()
+    """Prediction +- the (1 - alpha) quantile of the absolute calibration error.
+
+    The errors (column error) must come from rows that neither the model was fitted
+    on nor ``predictions`` holds: earlier seasons, or out-of-bag rows.
+    """
+    width = interval_width(calibration, alpha).select("width").scalar()
     return (
         predictions.withColumn("_w", width)
         .withColumns({f"{pred}_lower": F.col(pred) - F.col("_w"), f"{pred}_upper": F.col(pred) + F.col("_w")})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seasontide.operators import evaluation as H
+from seasontide.operators import intervals as I
 from seasontide.operators import models as M
 from seasontide.operators import reports as P
 from seasontide.operators import spatial as C
@@ -949,26 +950,67 @@ def _(spark, sf):
 # ---------------------------------------------------------------- model-free parts of section F
 
 
+#: Locations dealt to five seasons; the last one is predicted, the others calibrate.
+SEASON_OF = "(2020 + CAST(location_id AS BIGINT) % 5)"
+
+
 @query(
     "conformal_interval",
     "F5",
-    """SELECT location_id, stage_id, prediction_date, predicted_days AS pred, predicted_days - q AS pred_lower,
+    f"""SELECT location_id, stage_id, prediction_date, predicted_days AS pred, predicted_days - q AS pred_lower,
               predicted_days + q AS pred_upper
        FROM trajectory, (SELECT quantile_cont(abs(raw_signed_days - CAST(actual_stage_date - prediction_date AS DOUBLE)), 0.9) AS q
-                         FROM trajectory)""",
+                         FROM trajectory WHERE {SEASON_OF} < 2024) WHERE {SEASON_OF} = 2024""",
     rounds="pred pred_lower pred_upper",
     digits=9,  # sums of binary fractions would tie at six
 )
 def _(spark, sf):
-    rows = A.trajectory(spark, sf)
+    rows = A.trajectory(spark, sf).withColumn("season", 2020 + F.col("location_id").cast("long") % 5)
     gap = F.datediff("actual_stage_date", "prediction_date")
-    calibration = rows.select((F.col("raw_signed_days") - gap).alias("error"))
-    predictions = rows.select(
+    calibration = rows.where("season < 2024").select((F.col("raw_signed_days") - gap).alias("error"))
+    predictions = rows.where("season = 2024").select(
         "location_id", "stage_id", "prediction_date", F.col("predicted_days").alias("pred")
     )
     return M.conformal_interval(predictions, calibration, 0.1)
 
 
+@query(
+    "interval_width_by_stage",
+    "F5",
+    f"""SELECT stage_id, quantile_cont(abs(raw_signed_days - CAST(actual_stage_date - prediction_date AS DOUBLE)), 0.9) AS width,
+              count(*) AS n_errors FROM trajectory WHERE {SEASON_OF} < 2024 GROUP BY stage_id""",
+    rounds="width",
+    digits=9,
+)
+def _(spark, sf):
+    rows = A.trajectory(spark, sf).where(2020 + F.col("location_id").cast("long") % 5 < 2024)
+    errors = rows.withColumn("error", F.col("raw_signed_days") - F.datediff("actual_stage_date", "prediction_date"))
+    return I.interval_width(errors, 0.1, ["stage_id"])
+
+
+@query(
+    "bag_counts",
+    "F5",
+    """SELECT tree, bag, count(*) AS n_rows, CAST(sum(raw_signed_days) AS DOUBLE) AS sum_signal FROM (
+         SELECT CAST(tree AS INTEGER) AS tree, raw_signed_days, CASE WHEN u < exp(-1) THEN 0 WHEN u < 2 * exp(-1) THEN 1
+             WHEN u < 2.5 * exp(-1) THEN 2 WHEN u < (2.5 + 1 / 6.0::DOUBLE) * exp(-1) THEN 3 ELSE 4 END AS bag
+         FROM (SELECT tree, raw_signed_days, CAST(CAST('0x' || substr(md5(location_id || '|' || stage_id || '|' ||
+                 strftime(prediction_date, '%Y-%m-%d') || '|' || tree), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u
+               FROM trajectory, range(5) t(tree))) GROUP BY tree, bag""",
+    rounds="sum_signal",
+)
+def _(spark, sf):
+    """Rows of each bag count (four stands for four and more) of five trees."""
+    rows = A.trajectory(spark, sf)
+    keys = ("location_id", "stage_id", "prediction_date")
+    bags = F.array(*[F.struct(F.lit(t).alias("tree"), F.least(I.bag_count(keys, t), F.lit(4)).alias("bag")) for t in range(5)])
+    return (
+        rows.select(F.explode(bags).alias("b"), "raw_signed_days")
+        .groupBy("b.tree", "b.bag")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("raw_signed_days").alias("sum_signal"))
+    )
+
+
 @query(
     "format_predictions",
     "F6",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from seasontide.config import MODEL_FEATURES, Settings
 from seasontide.functions.checkpoints import reliable
 from seasontide.operators import calibrator as C
+from seasontide.operators import intervals as I
 from seasontide.operators import models as M
 from seasontide.operators import termination as G
 from seasontide.operators.frames import build_trajectory, fold_matrix, fold_rows, fold_seasons, training_matrix
@@ -83,8 +84,26 @@ def _(spark, sf):
     events, daily = prepared(spark, sf), located(spark, sf)
     matrix = reliable(training_matrix(events, daily, TEST_DATE, CFG))
     model = small_gbt(matrix, CFG.features, CFG.target)
-    return M.monotone_audit(
-        model, matrix, "cumu_gdd_air", (100.0, 150.0, 200.0, 250.0), CFG.features
+    return M.monotone_audit(model, matrix, "cumu_gdd_air", CFG.features)
+
+
+@query("bagged_interval", "F5")
+def _(spark, sf):
+    """Share of later rows inside the interval that out-of-bag errors of earlier ones give."""
+    events, daily = stored(spark, sf)
+    matrix = reliable(fold_matrix(events, daily, CFG))
+    early, late = (matrix.where(F.year("stage_date") < 1999), matrix.where(F.year("stage_date") == 1999))
+    keys = ("date", "location_id", "stage_id")
+    model = I.fit_bagged(early, CFG.features, CFG.target, keys, trees=10, params={"maxDepth": 5})
+    inside = F.col(CFG.target).between(F.col("pred_lower"), F.col("pred_upper"))
+    return (
+        I.bagged_interval(model, early, late, CFG.target, 0.1)
+        .groupBy("stage_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.avg(inside.cast("int")).alias("coverage"),
+            F.avg(F.col("pred_upper") - F.col("pred_lower")).alias("mean_width"),
+        )
     )
 
 
