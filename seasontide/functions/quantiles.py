@@ -34,10 +34,31 @@ def exact_percentiles(
     ignored; groups without a value are absent.  Bins are 1/1024 wide inside
     +-2048 (days), so the per-group bin table has a fixed size bound.
     """
-    keys = list(keys)
-    columns = list(dict.fromkeys(column for column, _ in wanted.values()))
-    probs = [sorted({p for column, p in wanted.values() if column == c}) for c in columns]
+    return _solve(_value_counts(df, list(keys), _columns(wanted)), list(keys), wanted)
+
+
+def level_percentiles(
+    df: DataFrame, levels: Sequence[Sequence[str]], wanted: Mapping[str, tuple[str, float]]
+) -> list[DataFrame]:
+    """``exact_percentiles`` at several levels of grouping, from one count of the values.
+
+    The first level holds the keys of all others.
+    """
+    keys = list(levels[0])
+    counts = reliable(_value_counts(df, keys, _columns(wanted)))
+    out = []
+    for level in levels:
+        coarse = counts if list(level) == keys else counts.groupBy(*level, "_m", "_v", "_b").agg(F.sum("_n").alias("_n"))
+        out.append(_solve(coarse, list(level), wanted))
+    return out
+
 
+def _columns(wanted: Mapping[str, tuple[str, float]]) -> list[str]:
+    return list(dict.fromkeys(column for column, _ in wanted.values()))
+
+
+def _value_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, _m, _v, _b, _n): the values of each column with their bin and number; NULL and NaN are left out."""
     pairs = F.array(
         *[
             F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v"))
@@ -49,7 +70,12 @@ def exact_percentiles(
         .select(*keys, F.col("_e.m").alias("_m"), F.col("_e.v").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     )
-    counts = values.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bin("_v"))
+    return values.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bin("_v"))
+
+
+def _solve(counts: DataFrame, keys: list[str], wanted: Mapping[str, tuple[str, float]]) -> DataFrame:
+    columns = _columns(wanted)
+    probs = [sorted({p for column, p in wanted.values() if column == c}) for c in columns]
     group = Window.partitionBy(*keys, "_m")
     before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     prob_table = F.array(*[F.array(*[F.lit(float(p)) for p in ps]) for ps in probs])

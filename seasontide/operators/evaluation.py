@@ -10,14 +10,16 @@ so a window group is one season at most.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from seasontide.functions import scalars as S
-from seasontide.functions.ordering import first_n, keep_first
-from seasontide.functions.quantiles import exact_percentiles, with_percentiles
+from seasontide.functions.ordering import first_n, join_on, keep_first
+from seasontide.functions.quantiles import exact_percentiles, level_percentiles, with_percentiles
 
 TRACK = ("model_version", "test_year", "location_id", "stage_id")
 WINDOW = ("event_year", "stage_id", "location_id", "stage_date")
@@ -276,61 +278,70 @@ def run_summary(log: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- error metrics
 
 
-def _error_columns() -> list[Column]:
+def _whole_days(df: DataFrame, column: str = "error_days") -> bool:
+    """Whether a column's type holds whole days only, so that a group has a few hundred values at most."""
+    return isinstance(df.schema[column].dataType, IntegralType)
+
+
+def _level_metrics(
+    df: DataFrame, keys: Sequence[str], levels: Sequence[Sequence[str]], columns: Sequence[Column],
+    wanted: Mapping[str, tuple[Column, float]], flag: str,
+) -> DataFrame:
+    """Aggregates and exact percentiles of several grouping levels; ``flag`` is the bit mask of keys left out.
+
+    Whole-day values use the built-in percentile, whose buffer is a small histogram.
+    Fractional ones are counted once for all levels and never held by one task.
+    """
+    sets = [[F.col(k) for k in level] for level in levels]
+    if _whole_days(df):
+        exact = [day_percentile(c, p).alias(name) for name, (c, p) in wanted.items()]
+        return df.groupingSets(sets, *keys).agg(F.grouping_id(*keys).alias(flag), *columns, *exact)
+    summary = df.groupingSets(sets, *keys).agg(F.grouping_id(*keys).alias(flag), *columns)
+    values = df.select(*keys, *[c.alias(f"_v_{name}") for name, (c, _) in wanted.items()])
+    found = level_percentiles(values, levels, {name: (f"_v_{name}", p) for name, (_, p) in wanted.items()})
+    parts = []
+    for level, part in zip(levels, found):
+        mask = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in level)
+        absent = {k: F.lit(None).cast(df.schema[k].dataType) for k in keys if k not in level}
+        parts.append(part.withColumns({**absent, flag: F.lit(mask).cast("long")}))
+    return join_on(summary, functools.reduce(DataFrame.unionByName, parts), [*keys, flag])
+
+
+def error_summary(
+    df: DataFrame, year: str = "prediction_year", stage: str = "stage_id"
+) -> DataFrame:
+    """Error metrics per (year, stage) and per year, both levels from one pass."""
     error = F.col("error_days")
-    return [
+    columns = [
         F.count(F.lit(1)).alias("n_predictions"),
         F.avg(error).alias("mean_error"),
-        day_percentile(error, 0.5).alias("median_error"),
         F.avg(F.abs(error)).alias("mae_error"),
         S.rate(F.abs(error) <= 3).alias("within_3d"),
         S.rate(F.abs(error) <= 5).alias("within_5d"),
-        day_percentile(F.abs(error), 0.9).alias("p90_abs_error"),
     ]
-
-
-def error_summary(
-    df: DataFrame, year: str = "prediction_year", stage: str = "stage_id"
-) -> DataFrame:
-    """Error metrics per (year, stage) and per year, both levels from one pass."""
-    years, stages = F.col(year), F.col(stage)
-    return (
-        df.groupingSets([[years, stages], [years]], years, stages)
-        .agg(F.grouping(stage).alias("_all"), *_error_columns())
-        .withColumn(
-            "scope", F.when(F.col("_all") == 1, "year").otherwise("year_stage")
-        )
-        .drop("_all")
-    )
+    wanted = {"median_error": (error, 0.5), "p90_abs_error": (F.abs(error), 0.9)}
+    rows = _level_metrics(df, [year, stage], [[year, stage], [year]], columns, wanted, "_level")
+    return rows.select(
+        year, stage, "n_predictions", "mean_error", "median_error", "mae_error", "within_3d", "within_5d", "p90_abs_error",
+        F.when(F.col("_level") == 1, "year").otherwise("year_stage").alias("scope"),
+    )
 
 
 def scope_metrics(df: DataFrame) -> DataFrame:
     """Overall and per-stage metrics of the known errors, in one rollup."""
     error = F.col("error_days")
-    return (
-        df.where(error.isNotNull())
-        .rollup("stage_id")
-        .agg(
-            F.grouping("stage_id").alias("_all"),
-            F.count(F.lit(1)).alias("n"),
-            F.avg(F.abs(error)).alias("mae"),
-            S.rms(error).alias("rmse"),
-            F.avg(error).alias("bias"),
-            day_percentile(F.abs(error), 0.5).alias("median_abs_error"),
-            S.rate(F.abs(error) <= 7).alias("within_7d"),
-        )
-        .select(
-            F.when(F.col("_all") == 1, "overall")
-            .otherwise(F.concat(F.lit("stage_id="), F.col("stage_id").cast("string")))
-            .alias("scope"),
-            "n",
-            "mae",
-            "rmse",
-            "bias",
-            "median_abs_error",
-            "within_7d",
-        )
-    )
+    columns = [
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.abs(error)).alias("mae"),
+        S.rms(error).alias("rmse"),
+        F.avg(error).alias("bias"),
+        S.rate(F.abs(error) <= 7).alias("within_7d"),
+    ]
+    known = df.where(error.isNotNull())
+    wanted = {"median_abs_error": (F.abs(error), 0.5)}
+    rows = _level_metrics(known, ["stage_id"], [["stage_id"], []], columns, wanted, "_level")
+    scope = F.when(F.col("_level") == 1, "overall").otherwise(F.concat(F.lit("stage_id="), F.col("stage_id").cast("string")))
+    return rows.select(scope.alias("scope"), "n", "mae", "rmse", "bias", "median_abs_error", "within_7d")
 
 
 def location_metrics(df: DataFrame) -> DataFrame:
@@ -348,18 +359,16 @@ def location_metrics(df: DataFrame) -> DataFrame:
         "location_name",
     ]
     error = F.col("error_days")
-    per_location = (
-        df.dropna(subset=["error_days", "latitude", "longitude", "location_state", "location_name"])
-        .groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            S.rms(error).alias("rmse"),
-            F.avg(F.abs(error)).alias("mae"),
-            F.avg(error).alias("bias"),
-            day_percentile(F.abs(error), 0.5).alias("median_abs_error"),
-            S.rate(F.abs(error) <= 7).alias("within_7d"),
-        )
-    )
+    known = df.dropna(subset=["error_days", "latitude", "longitude", "location_state", "location_name"])
+    columns = [
+        F.count(F.lit(1)).alias("n"),
+        S.rms(error).alias("rmse"),
+        F.avg(F.abs(error)).alias("mae"),
+        F.avg(error).alias("bias"),
+        S.rate(F.abs(error) <= 7).alias("within_7d"),
+    ]
+    wanted = {"median_abs_error": (F.abs(error), 0.5)}
+    per_location = _level_metrics(known, keys, [keys], columns, wanted, "_level").drop("_level")
     state = ["year", "stage_id", "location_state"]
     per_state = per_location.groupBy(*state).agg(F.avg("mae").alias("mae_state"))
     return per_location.join(per_state, state)

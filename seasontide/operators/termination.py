@@ -336,6 +336,55 @@ def zero_day_lock(
     return started.withColumns(changed).drop("_near", "_run", "_at")
 
 
+def zero_lock_starts(
+    df: DataFrame,
+    thresholds: Sequence[float],
+    days: int = 2,
+    key: Sequence[str] = ("location_id", "stage_id", "stage_date"),
+    name: str = "lock_starts",
+) -> DataFrame:
+    """The date from which ``zero_day_lock`` holds, for every threshold, as one array per row.
+
+    A run of ``days`` rows lies at or below a threshold if its greatest value does, so
+    one window over the next rows and one over the trajectory serve all thresholds.
+    """
+    if days < 2:
+        raise ValueError("days must be at least 2")
+    ordered = _ordered(key)
+    ahead = ordered.rowsBetween(0, days - 1)
+    group = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # a NULL never counts as near zero
+    worst = F.max(F.coalesce("predicted_days", F.lit(float("inf")))).over(ahead)
+    whole = F.count(F.lit(1)).over(ahead) == days
+    marked = df.withColumn("_worst", F.when(whole, worst))
+    starts = [
+        F.min(F.when(F.col("_worst") <= float(v), F.col("prediction_date"))).over(group) for v in thresholds
+    ]
+    return marked.withColumn(name, F.array(*starts)).drop("_worst")
+
+
+def lock_sweep(
+    df: DataFrame,
+    thresholds: Sequence[float],
+    days: int = 2,
+    key: Sequence[str] = ("location_id", "stage_id", "stage_date"),
+) -> DataFrame:
+    """(zero_threshold, n_rows, post_event_positive_rate) of ``zero_day_lock`` at each threshold, from one scan."""
+    started = zero_lock_starts(df, thresholds, days, key)
+    late = F.col("prediction_date") > F.col("actual_stage_date")
+    rates = []
+    for i in range(len(thresholds)):
+        locked = F.coalesce(F.col("prediction_date") >= F.get("lock_starts", F.lit(i)), F.lit(False))
+        left = F.when(locked, F.lit(0.0)).otherwise(F.col("predicted_days"))
+        rates.append(F.avg(((left > 0) & late).cast("int")).alias(f"_r{i}"))
+    row = started.agg(F.count(F.lit(1)).alias("n_rows"), *rates)
+    pairs = [
+        F.struct(F.lit(float(v)).alias("zero_threshold"), F.col(f"_r{i}").alias("post_event_positive_rate"))
+        for i, v in enumerate(thresholds)
+    ]
+    return row.select(F.explode(F.array(*pairs)).alias("_p"), "n_rows").select("_p.*", "n_rows")
+
+
 def raw_zero_lock(df: DataFrame, key: Sequence[str] = TRAJECTORY) -> DataFrame:
     """Baseline: reached from the first raw value at or below zero; values stay as they are."""
     group = _ordered(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -213,6 +213,45 @@ def _(spark, sf):
     return H.scope_metrics(lead_eval(spark, sf))
 
 
+FRACTIONAL = """(SELECT stage_id, CAST(2020 + CAST(location_id AS BIGINT) % 3 AS INTEGER) AS prediction_year,
+        raw_signed_days - CAST(actual_stage_date - prediction_date AS DOUBLE) AS e FROM trajectory)"""
+
+
+def fractional_errors(spark, sf):
+    return A.trajectory(spark, sf).select(
+        "stage_id",
+        (2020 + F.col("location_id").cast("long") % 3).cast("int").alias("prediction_year"),
+        (F.col("raw_signed_days") - F.datediff("actual_stage_date", "prediction_date")).alias("error_days"),
+    )
+
+
+@query(
+    "error_summary_fractional",
+    "H10",
+    f"""SELECT prediction_year, stage_id, count(*) AS n_predictions, avg(e) AS mean_error, quantile_cont(e, 0.5) AS median_error,
+              avg(abs(e)) AS mae_error, avg(CAST(abs(e) <= 3 AS DOUBLE)) AS within_3d, avg(CAST(abs(e) <= 5 AS DOUBLE)) AS within_5d,
+              quantile_cont(abs(e), 0.9) AS p90_abs_error,
+              CASE WHEN grouping(stage_id) = 1 THEN 'year' ELSE 'year_stage' END AS scope
+       FROM {FRACTIONAL} GROUP BY GROUPING SETS ((prediction_year, stage_id), (prediction_year))""",
+    rounds="mean_error median_error mae_error within_3d within_5d p90_abs_error",
+)
+def _(spark, sf):
+    return H.error_summary(fractional_errors(spark, sf))
+
+
+@query(
+    "scope_metrics_fractional",
+    "H11",
+    f"""SELECT CASE WHEN grouping(stage_id) = 1 THEN 'overall' ELSE 'stage_id=' || stage_id END AS scope, count(*) AS n,
+              avg(abs(e)) AS mae, sqrt(avg(e * e)) AS rmse, avg(e) AS bias, quantile_cont(abs(e), 0.5) AS median_abs_error,
+              avg(CAST(abs(e) <= 7 AS DOUBLE)) AS within_7d
+       FROM {FRACTIONAL} GROUP BY ROLLUP (stage_id)""",
+    rounds="mae rmse bias median_abs_error within_7d",
+)
+def _(spark, sf):
+    return H.scope_metrics(fractional_errors(spark, sf))
+
+
 @query(
     "location_metrics",
     "H12",
@@ -1051,17 +1090,7 @@ LOCKED_SWEEP = """(SELECT v AS zero_threshold, count(*) AS n_rows,
 
 def lock_sweep(spark, sf):
     key = ("model_version", "test_year", "location_id", "stage_id")
-    detail = A.detail(spark, sf)
-
-    def run(threshold):
-        locked = G.zero_day_lock(detail, threshold, 2, key)
-        late = (F.col("predicted_days") > 0) & (F.col("prediction_date") > F.col("actual_stage_date"))
-        return locked.agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.avg(late.cast("int")).alias("post_event_positive_rate"),
-        )
-
-    return M.sweep((0.5, 1.0, 2.0), run, "zero_threshold")
+    return G.lock_sweep(A.detail(spark, sf), (0.5, 1.0, 2.0), 2, key)
 
 
 @query(
