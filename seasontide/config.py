@@ -65,6 +65,7 @@ class Settings:
     trajectory_season: tuple[str, str] = ("03-01", "06-30")
     # termination
     ridge_alpha: float = 30.0
+    calibrator_years: int | None = 3
     termination_threshold: float = 4.5
     min_history_days: int = 7
     zero_lock_threshold: float = 1.0

@@ -504,8 +504,14 @@ def save_bundle(
     cfg: Settings,
     cutoff: str,
     inputs: Mapping[str, DataFrame],
+    facts: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Write both models and a manifest of settings, cutoff, counts and hashes."""
+    """Write both models and a manifest of settings, cutoff, counts and hashes.
+
+    ``facts`` are tables about the training data, such as label coverage and counts;
+    they are stored beside the models.  The manifest has their and the inputs' row
+    counts and content hashes, and is written last.  An existing bundle is an error.
+    """
     spark = SparkSession.active()
     base.write().save(f"{path}/base_model")
     manifest = spark.createDataFrame(
@@ -517,10 +523,14 @@ def save_bundle(
         ],
         "name string, value string",
     ).withColumn("content_hash", F.sha2("value", 256))
-    for name, df in inputs.items():
+    listed = {f"input_{name}": df for name, df in inputs.items()}
+    for name, df in (facts or {}).items():
+        df.write.parquet(f"{path}/{name}")
+        listed[f"fact_{name}"] = spark.read.parquet(f"{path}/{name}")
+    for name, df in listed.items():
         manifest = manifest.unionByName(
             fingerprint(df).select(
-                F.lit(f"input_{name}").alias("name"),
+                F.lit(name).alias("name"),
                 F.col("n_rows").cast("string").alias("value"),
                 "content_hash",
             )
@@ -532,9 +542,13 @@ def save_bundle(
 def load_bundle(spark: SparkSession, path: str) -> Bundle:
     """Read both models back; the manifest and the model must name the same inputs."""
     rows = spark.read.parquet(f"{path}/manifest")
-    bad = rows.where("name NOT LIKE 'input_%'").where(F.sha2("value", 256) != F.col("content_hash"))
+    bad = rows.where("name NOT LIKE 'input_%' AND name NOT LIKE 'fact_%'").where(F.sha2("value", 256) != F.col("content_hash"))
     if not bad.isEmpty():
         raise ValueError("bundle manifest does not match its hashes")
+    for fact in rows.where("name LIKE 'fact_%'").collect():
+        stored = spark.read.parquet(f"{path}/{fact['name'].removeprefix('fact_')}")
+        if fingerprint(stored).first()["content_hash"] != fact["content_hash"]:
+            raise ValueError(f"{fact['name']} does not match its hash")
     manifest = {r["name"]: r["value"] for r in rows.collect()}
     base = PipelineModel.load(f"{path}/base_model")
     features = tuple(json.loads(manifest["features"]))

@@ -179,7 +179,7 @@ def _(spark, sf):
     )
     K.write_outputs({"summary": summary}, path, "run1")
     stored = spark.read.schema("stage_id int, n_rows bigint, last_date date")
-    return stored.option("header", True).csv(f"{path}/latest/summary.csv")
+    return stored.option("header", True).csv(f"{path}/runs/{R.latest_run(spark, path)}/summary.csv")
 
 
 CUTOFFS = ("1997-12-31", "1999-06-30", "2000-12-31")

@@ -203,3 +203,15 @@ def snapshot_manifest(snapshots: DataFrame) -> DataFrame:
     return snapshots.groupBy("cutoff").agg(
         F.count(F.lit(1)).alias("n_rows"), F.max("stage_date").alias("last_stage_date")
     )
+
+
+def latest_run(spark: SparkSession, path: str) -> str:
+    """The run that was published last below ``path``, of equal times the greatest id."""
+    runs = spark.read.parquet(f"{path}/published")
+    last = runs.orderBy(F.desc("published_at"), F.desc("run_id")).select("run_id").first()
+    return last["run_id"]
+
+
+def read_latest(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of the run that was published last."""
+    return spark.read.parquet(f"{path}/runs/{latest_run(spark, path)}/{name}.parquet")

@@ -70,20 +70,24 @@ def write_predictions(df: DataFrame, path: str, run_date: str) -> None:
     write_by_day(today, path, "prediction_date")
 
 
-def write_outputs(frames: dict[str, DataFrame], path: str, run_ts: str) -> list[str]:
-    """Detail and summary tables, as Parquet and CSV, under the run and under ``latest``.
+def write_outputs(frames: dict[str, DataFrame], path: str, run_id: str) -> list[str]:
+    """Detail and summary tables of one run, as Parquet and CSV, then the pointer to it.
 
-    The ``latest`` copy is read back from the run copy, so nothing is computed twice.
+    A run has a folder of its own, which must not exist yet.  The pointer is a row that
+    is appended last: until then readers get the run before, so a run that is killed
+    at any moment leaves the published tables as they were.
     """
     written = []
     for name, df in frames.items():
-        run = f"{path}/{run_ts}/{name}"
-        df.write.mode("overwrite").parquet(f"{run}.parquet")
+        run = f"{path}/runs/{run_id}/{name}"
+        df.write.parquet(f"{run}.parquet")
         stored = df.sparkSession.read.parquet(f"{run}.parquet")
-        stored.write.mode("overwrite").option("header", True).csv(f"{run}.csv")
-        stored.write.mode("overwrite").parquet(f"{path}/latest/{name}.parquet")
-        stored.write.mode("overwrite").option("header", True).csv(f"{path}/latest/{name}.csv")
+        stored.write.option("header", True).csv(f"{run}.csv")
         written += [f"{run}.parquet", f"{run}.csv"]
+    if frames:
+        spark = next(iter(frames.values())).sparkSession
+        row = spark.range(1).select(F.lit(run_id).alias("run_id"), F.current_timestamp().alias("published_at"))
+        row.coalesce(1).write.mode("append").parquet(f"{path}/published")
     return written
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from seasontide.operators import audits as I
@@ -43,12 +44,20 @@ def test_publishing_replaces_only_its_own_day(spark, tmp_path):
     assert got == [(day(1), 1.0), (day(2), 7.0)]
 
 
-def test_outputs_are_written_twice(spark, tmp_path):
+def test_outputs_are_published_by_a_pointer(spark, tmp_path):
+    path = str(tmp_path)
     frame = spark.createDataFrame([(1, "a")], "n int, s string")
-    K.write_outputs({"detail": frame}, str(tmp_path), "20250401")
-    for folder in ("20250401", "latest"):
-        assert R.read_table(spark, f"{tmp_path}/{folder}/detail.parquet").first().n == 1
-        assert R.read_table(spark, f"{tmp_path}/{folder}/detail.csv").first().s == "a"
+    K.write_outputs({"detail": frame, "summary": frame}, path, "20250401")
+    K.write_outputs({"detail": frame.withColumn("n", F.lit(2))}, path, "20250402")
+    assert R.latest_run(spark, path) == "20250402" and R.read_latest(spark, path, "detail").first().n == 2
+    assert R.read_table(spark, f"{path}/runs/20250401/detail.csv").first().s == "a"
+    with pytest.raises(Exception, match="already exists"):
+        K.write_outputs({"detail": frame}, path, "20250401")
+    # a run that dies between its tables
+    broken = frame.withColumn("n", F.raise_error(F.lit("killed")).cast("int"))
+    with pytest.raises(Exception, match="killed"):
+        K.write_outputs({"detail": frame, "summary": broken}, path, "20250403")
+    assert R.latest_run(spark, path) == "20250402" and R.read_latest(spark, path, "detail").first().n == 2
 
 
 def test_cache_rebuild_is_dry_unless_applied(spark, tmp_path):
