@@ -28,8 +28,9 @@ BLOCK = 1024
 STRETCH_BYTES = 32 << 20
 #: Tasks over which the partners of one stretch are dealt, where there are fewer stretches than cores.
 MOST_LANES = 32
-#: Each interval has 32 parts; a partition numbers its blocks below 32 ** 3.
-FAN_BITS, SEQUENCE_BITS = 5, 15
+#: Each interval has 32 parts; a partition numbers its blocks below 32 ** 4,
+#: which is a thousand million rows.
+FAN_BITS, SEQUENCE_BITS = 5, 20
 
 
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
@@ -52,7 +53,7 @@ def _units(x: np.ndarray) -> np.ndarray:
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
-    """(embedding, rep, n): equal usable vectors, with their smallest id and number."""
+    """(embedding, rep, n): equal usable vectors, with their smallest id and the number of their ids."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = (
         F.col("vec_id").isNotNull()
@@ -61,7 +62,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
         & F.exists("embedding", lambda x: x != 0)
     )
     rows = vectors.where(usable)
-    return rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("n"))
 
 
 def _kind(classes: DataFrame) -> str:
@@ -258,7 +259,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding).
 
     Vectors link when their cosine in double precision is ``least`` or more. n_links
-    counts the other vectors linked directly, component_id is the smallest id reachable.
+    counts the other ids with a vector linked directly, component_id is the smallest id reachable.
     Equal vectors are one class, so that many copies cost as much as one. Vectors that
     are null, zero, empty, or hold null or non-finite components, and rows without an
     id, link with nothing. Shorter vectors count as padded with zeros. Rows that repeat
