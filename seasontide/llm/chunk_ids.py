@@ -46,7 +46,7 @@ class ChunkEncoder:
         # the tokens that part the chunks of a row
         parts = [(self.library.id_to_token(i) or "").startswith(SPACE) if spaced else [i] == mark for i in range(size)]
         self.parts = np.array(parts)
-        self.plain = re.compile(r" [^\s<]+" if spaced else rf"[^\s<{re.escape(MARK)}]+").fullmatch
+        self.plain = re.compile(r" [^ <]*[^\s<]" if spaced else rf"[^\s<{re.escape(MARK)}]+").fullmatch
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -83,16 +83,22 @@ class ChunkEncoder:
         return found
 
     def of_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each chunk."""
+        """Little-endian unsigned 32-bit ids of each of some distinct chunks."""
         found = list(map(self.kept.get, chunks))
-        if None in found:
-            missing = {c for c, f in zip(chunks, found) if f is None}
-            older = {c: self.older[c] for c in missing if c in self.older}
-            new = older | self._ask(list(missing - older.keys()))
-            found = [new[c] if f is None else f for c, f in zip(chunks, found)]
+        missing = [i for i, f in enumerate(found) if f is None]
+        if missing:
+            names = [chunks[i] for i in missing]
+            got = list(map(self.older.get, names))
+            new = self._ask([c for c, f in zip(names, got) if f is None])
+            got = [new[c] if f is None else f for c, f in zip(names, got)]
+            for i, f in zip(missing, got):
+                found[i] = f
             if len(self.kept) >= KEPT:
                 self.kept, self.older = {}, self.kept
-            self.kept.update((c, x) for c, x in new.items() if len(c) <= KEPT_LENGTH)
+            if max(map(len, names)) <= KEPT_LENGTH:
+                self.kept.update(zip(names, got))
+            else:
+                self.kept.update((c, x) for c, x in zip(names, got) if len(c) <= KEPT_LENGTH)
         return found
 
     def _cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -100,11 +106,11 @@ class ChunkEncoder:
         parts = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(texts)
         return parts.flatten(), np.asarray(parts.offsets, np.int64)
 
-    def encode(self, texts: pa.Array, ends_sentence: re.Pattern | None = None):
+    def encode(self, texts: pa.Array, end_id: int | None = None, ends_sentence: re.Pattern | None = None):
         """(ids, bounds) of some texts, null as empty: text i has ids[bounds[i]:bounds[i + 1]].
 
-        With ``ends_sentence`` also the places in ids after which a chunk ends that the
-        pattern is found in.
+        ``end_id`` is appended to each text's ids. With ``ends_sentence`` also the places
+        in ids after which a chunk ends that the pattern is found in.
         """
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         chunks, first = self._cut(texts)
@@ -113,18 +119,18 @@ class ChunkEncoder:
         if self.spaced:
             names, index, first = self._with_spaces(texts, names, index, first)
         found = self.of_chunks(names)
-        sizes = np.array([len(x) // 4 for x in found], np.int64)
-        begins = np.concatenate(([0], np.cumsum(sizes)))
-        data = np.frombuffer(b"".join(found), "<u4")
-        lengths = sizes[index]
-        ends = np.cumsum(lengths)
-        at = np.repeat(begins[index] - (ends - lengths), lengths)
-        at += np.arange(len(at))
-        bounds = np.concatenate(([0], ends))[first]
+        if end_id is not None:
+            index, first = np.insert(index, first[1:], len(names)), first + np.arange(len(first))
+            found.append(np.array([end_id], "<u4").tobytes())
+        begins = np.cumsum([0, *[len(x) // 4 for x in found]])
+        data = np.frombuffer(b"".join(found), "<i4")
+        lists = pa.LargeListArray.from_arrays(pa.array(begins), pa.array(data)).take(pa.array(index))
+        bounds = np.asarray(lists.offsets, np.int64)
+        ids = np.asarray(lists.values)
         if ends_sentence is None:
-            return data[at], bounds
-        last = np.array([bool(ends_sentence.search(c)) for c in names], bool)
-        return data[at], bounds, ends[last[index]]
+            return ids, bounds[first]
+        last = np.array([bool(ends_sentence.search(c)) for c in names] + [False], bool)
+        return ids, bounds[first], bounds[1:][last[index]]
 
     def _with_spaces(self, texts: pa.Array, names: list[str], index: np.ndarray, first: np.ndarray):
         """Put the spaces back: chunks that follow another begin with one.
@@ -157,17 +163,19 @@ class ChunkEncoder:
             counts = np.diff(first)
             counts[list(recut)] = [len(c) for c in recut.values()]
             index, first, names = np.concatenate(lists), np.concatenate(([0], np.cumsum(counts))), list(places)
-        used, index = np.unique(index, return_inverse=True)
-        return [names[i] for i in used.tolist()], index, first
+        used = np.zeros(len(names), bool)
+        used[index] = True
+        place = np.cumsum(used) - 1
+        return [names[i] for i in np.flatnonzero(used).tolist()], place[index], first
 
 
-def runs(texts: pa.Array):
-    """(first row, rows) of runs of texts of about ``TEXT_BYTES``; a longer text is a run of its own."""
+def runs(texts: pa.Array, size: int = TEXT_BYTES):
+    """(first row, rows) of runs of texts of about ``size`` bytes; a longer text is a run of its own."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     at = 0
     while at < len(texts):
         before = sizes[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(sizes, before + TEXT_BYTES, side="right")))
+        end = max(at + 1, int(np.searchsorted(sizes, before + size, side="right")))
         yield at, texts.slice(at, end - at)
         at = end
 

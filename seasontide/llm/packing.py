@@ -118,7 +118,7 @@ class _Stream:
         self.length, self.kind, self.next = length, kind, part << 33
         self.names: list = []
         self.sizes = self.begun = np.zeros(0, np.int64)  # whole size, and ids already in sequences
-        self.ids, self.sentences = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.ids, self.sentences = np.zeros(0, "<i4"), np.zeros(0, np.int64)
 
     def add(self, names: list, ids: np.ndarray, bounds: np.ndarray, sentences: np.ndarray) -> None:
         self.sentences = np.concatenate((self.sentences, sentences + len(self.ids)))
@@ -144,7 +144,7 @@ class _Stream:
                 pa.array([self.names[i] for i in doc.tolist()], self.kind),
                 pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(self.sizes[doc]),
                 pa.array(sequence + self.next), pa.array(first - found[sequence]),
-                pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids)),
             ],
             ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"],
         )
@@ -172,16 +172,12 @@ def pack(documents: DataFrame, tokenizer: str, end_id: int = 1, length: int = 20
         encode, stream = encoder(tokenizer, spaced=False).encode, None
         for batch in batches:
             for at, texts in runs(batch.column(1)):
-                ids, bounds, sentences = encode(texts, SENTENCE_END)
+                ids, bounds, sentences = encode(texts, end_id, SENTENCE_END)
                 # the end of a document's text is no cut: its end id follows
-                doc = np.searchsorted(bounds, sentences) - 1
-                inner = sentences < bounds[doc + 1]
+                inner = sentences + 1 < bounds[np.searchsorted(bounds, sentences)]
                 names = batch.column(0).slice(at, len(texts))
                 stream = stream or _Stream(length, TaskContext.get().partitionId(), names.type)
-                stream.add(
-                    names.to_pylist(), np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds)),
-                    (sentences + doc)[inner],
-                )
+                stream.add(names.to_pylist(), ids, bounds, sentences[inner])
                 if len(stream.ids) >= BLOCK:
                     yield stream.take(last=False)
         if stream and len(stream.ids):

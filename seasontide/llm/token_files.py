@@ -9,8 +9,6 @@ ranges of doc_id; a small table of their totals turns local starts into global o
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 
 import numpy as np
@@ -18,108 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seasontide.llm.common import scratch
+from seasontide.llm.chunk_ids import encoder, runs
+from seasontide.llm.common import scratch, stored
 
-#: Encoded words that a Python worker keeps in each of two generations; only speed depends on it.
-KEPT, KEPT_LENGTH = 400_000, 48
-#: Texts whose characters all lie below this are cut into words here; others are left to the library whole.
-PLAIN = 0x250
-#: How byte-level vocabularies write the space.
-SPACE = "\u0120"
-
-
-def _word_pattern() -> re.Pattern[str]:
-    """The split of byte-level pair encoding, spelled out for characters below ``PLAIN``.
-
-    Contractions, then runs of letters, of numbers, or of other characters, each with
-    at most one space before; then white space, of which a run leaves its last
-    character to a word that follows.
-    """
-    kinds: dict[str, list[str]] = {"L": [], "N": [], "S": []}
-    for i in range(PLAIN):
-        c = chr(i)
-        kind = unicodedata.category(c)[0]
-        if c in "\t\n\x0b\f\r \x85\xa0":
-            kinds["S"].append(c)
-        elif kind in "LN":
-            kinds[kind].append(c)
-    letters, numbers, spaces = ("".join(map(re.escape, kinds[k])) for k in "LNS")
-    return re.compile(
-        rf"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+"
-        rf"|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
-    )
-
-
-class WordEncoder:
-    """Encodes texts with the tokenizers library, asking it once per distinct word in a while."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        # the strings of special tokens inside a text are ordinary text
-        self.library.encode_special_tokens = True
-        self.words = _word_pattern().findall
-        size = self.library.get_vocab_size()
-        self.begins_word = np.array([(self.library.id_to_token(i) or "").startswith(SPACE) for i in range(size)])
-        self.beyond = re.compile(f"[^\0-{chr(PLAIN - 1)}]").search
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _ask_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of single words. Those that begin with one space go to the library in a row.
-
-        A space begins a word, and no token holds one elsewhere; so the tokens that
-        begin with a space show where each word's ids begin.
-        """
-        spaced = [w for w in words if w[0] == " " and len(w) > 1 and w[1] != " "]
-        found = {}
-        if spaced:
-            ids = np.array(self.library.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, "<u4")
-            begins = np.flatnonzero(self.begins_word[ids])
-            if len(begins) == len(spaced):
-                data, ends = ids.tobytes(), np.append(begins[1:], len(ids)) * 4
-                found = {w: data[a:b] for w, a, b in zip(spaced, (begins * 4).tolist(), ends.tolist())}
-        rest = [w for w in words if w not in found]
-        found.update(zip(rest, self._ask(rest)))
-        return found
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        whole = {i: t for i, t in enumerate(texts) if self.beyond(t)}
-        encoded = dict(zip(whole, self._ask(list(whole.values())))) if whole else {}
-        plain = [i for i in range(len(texts)) if i not in encoded]
-        split = [self.words(texts[i]) for i in plain]
-        found = [list(map(self.kept.get, words)) for words in split]
-        missing = {w for f, words in zip(found, split) if None in f for w in set(words) if w not in self.kept}
-        if missing:
-            older = {w: self.older[w] for w in missing if w in self.older}
-            new = older | self._ask_words(list(missing - older.keys()))
-            found = [
-                [new[w] if x is None else x for x, w in zip(f, words)] if None in f else f
-                for f, words in zip(found, split)
-            ]
-            if len(self.kept) >= KEPT:
-                self.kept, self.older = {}, self.kept
-            self.kept.update((w, x) for w, x in new.items() if len(w) <= KEPT_LENGTH)
-        encoded.update(zip(plain, map(b"".join, found)))
-        return [encoded[i] for i in range(len(texts))]
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+#: Bytes of texts encoded together; the sort before and the file writer behind need memory too.
+TEXT_BYTES = 4 << 20
 
 
 def encode(documents: DataFrame, tokenizer: str, end_id: int = 2, partitions: int | None = None) -> DataFrame:
@@ -128,28 +29,23 @@ def encode(documents: DataFrame, tokenizer: str, end_id: int = 2, partitions: in
     ``end_id`` is appended to each document; a null text is empty and has it alone.
     start counts the ids before the row within its partition. Rows that repeat an id
     stay apart, in the order of their texts; null ids come first; other columns are
-    left out.
+    left out. Strings of special tokens inside a text get their ids, as the library does
+    by default.
     """
 
     def run(batches):
-        encoder = _encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         start = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                ids = [x + end for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                lengths = np.array([len(x) // 4 for x in ids], np.int64)
-                ends = np.cumsum(lengths)
-                tokens = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], ends)).astype(np.int32)),
-                    pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)),
-                )
+            for at, texts in runs(batch.column(1), TEXT_BYTES):
+                ids, bounds = encoder(tokenizer, spaced=True).encode(texts, end_id)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(start + ends - lengths), pa.array(lengths), tokens],
+                    [
+                        batch.column(0).slice(at, len(texts)), pa.array(start + bounds[:-1]), pa.array(np.diff(bounds)),
+                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)),
+                    ],
                     ["doc_id", "start", "n_tokens", "ids"],
-                )
-                start += int(ends[-1])
+                )
+                start += len(ids)
 
     rows = documents.select("doc_id", "text")
     rows = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
@@ -177,7 +73,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): rows of the files with starts over the whole corpus.
 
     Filters on doc_id reach the stripe and row-group indexes. The files' totals are
-    one row per file; only the narrow columns are read for them.
+    one row per file; only the narrow columns are read for them, and they are stored, so
+    that Spark knows their size and sends them to the rows instead of the rows to them.
     """
     schema = spark.read.orc(path).schema
     rows = spark.read.schema(schema).orc(path).withColumn("_file", F.col("_metadata.file_name"))
@@ -189,7 +86,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("_part", F.regexp_extract("_file", r"part-(\d+)", 1).cast("long"))
         .select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    return rows.join(totals, "_file").select(
+    return rows.join(stored(totals, "totals"), "_file").select(
         "doc_id", (F.col("start") + F.col("_offset")).alias("start"), "n_tokens", "ids"
     )
 
@@ -200,7 +97,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch.column(3)
-            data = np.asarray(ids.values).astype("<u4", copy=False)
+            data = np.asarray(ids.values).astype("<i4", copy=False)
             offsets = np.asarray(ids.offsets)
             crc = [zlib.crc32(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays(

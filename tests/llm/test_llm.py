@@ -21,6 +21,7 @@ TEXTS = [
     (4, " \n\t ", None, "b"), (5, LONG, "fr", "b"), (6, LONG, "fr", None), (7, LONG + " more", "fr", "a"), (8, "word", "en", "a"),
     (9, "日本語 ▁ mixed \\ é\r\n!!", "en", "a"), (10, "word", "en", "a"), (None, "no id here", "en", "a"),
     (11, "same row twice", "en", "a"), (11, "same row twice", "en", "a"), (12, "x" * 5000, "en", "c"),
+    (13, "ab <|endoftext|> c|d <|startoftext|>x", "en", "c"),
 ]
 
 
@@ -91,7 +92,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BYTES)
-    t.encode_special_tokens = True
     return [np.array([*x.ids, 2], "<u4") for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -342,6 +342,12 @@ def test_vector_duplicates(spark, sf):
     assert grid_join.near_duplicates(frame.where("false")).count() == 0
 
 
+def test_vector_rows_that_repeat_an_id(spark):
+    rows = [(5, [1.0, 0.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [0.0, 1.0]), (7, [0.0, 1.0])]
+    found = grid_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in found) == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 0, 7), (7, 0, 7)]
+
+
 def test_vector_duplicates_many_stretches(spark, monkeypatch):
     rng = np.random.default_rng(5)
     made = [np.round(rng.normal(size=6) + c, 2).tolist() for c in rng.normal(size=(6, 6)) * 3 for _ in range(40)]

@@ -189,7 +189,7 @@ def test_pack_in_many_blocks():
     stream, rows, want = packing._Stream(2048, 3, pa.int64()), [], {}
     for doc in range(300):
         size = int(rng.choice([1, 5, 300, 700, 9000]))
-        ids = rng.integers(0, 49_000, size).astype("<u4")
+        ids = rng.integers(0, 49_000, size).astype("<i4")
         want[doc] = [ids.tolist()]
         sentences = np.unique(rng.integers(1, size, size // 15)) if size > 20 else np.zeros(0, np.int64)
         stream.add([doc], ids, np.array([0, size]), sentences)
