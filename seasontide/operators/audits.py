@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seasontide.config import TARGET_IDS
 from seasontide.functions import scalars as S
+from seasontide.functions.checkpoints import reliable
 from seasontide.sources.schemas import IDENTITY_COLUMNS, INDEX_COLUMNS, require_columns
 
 
@@ -117,30 +118,36 @@ def segment_report(df: DataFrame) -> DataFrame:
 
 
 def compact_segments(df: DataFrame, path: str, apply: bool = False) -> DataFrame:
-    """Rebuild the cache below a new path, one folder per segment, and return its index.
+    """Rebuild the cache below a new path and return its index.
 
-    Without ``apply`` nothing is written.
+    The segments are found once. Every row carries the start of its segment, fetched by
+    place and day. Rows are range-sorted by place, segment and date, so that a reader of
+    one segment skips all other row groups; folders are only one per start year. The
+    index is written last: a cache without one isn't complete. Rows without place or
+    date are left out. Without ``apply`` nothing is written.
     """
-    index = segment_index(date_segments(df))
-    if apply:
-        bounds = date_segments(df).select(
-            F.col("place_id").alias("_p"), F.col("start_date").alias("_s"), F.col("end_date").alias("_e")
-        )
-        tagged = (
-            df.join(
-                bounds,
-                (F.col("place_id") == F.col("_p")) & F.col("date").between(F.col("_s"), F.col("_e")),
-            )
-            .withColumn("segment_start", F.date_format("_s", "yyyyMMdd"))
-            .drop("_p", "_s", "_e")
-        )
-        (
-            tagged.hint("rebalance", F.col("place_id"), F.col("segment_start"))
-            .write.mode("errorifexists")
-            .partitionBy("place_id", "segment_start")
-            .parquet(f"{path}/data")
-        )
-        index.write.mode("errorifexists").parquet(f"{path}/index")
+    if not apply:
+        return segment_index(date_segments(df))
+    segments = reliable(date_segments(df))
+    starts = segments.select(
+        F.col("place_id").alias("_p"),
+        F.explode(F.sequence("start_date", "end_date")).alias("_day"),
+        F.date_format("start_date", "yyyyMMdd").alias("segment_start"),
+        F.year("start_date").alias("start_year"),
+    )
+    order = ["start_year", "place_id", "segment_start", "date"]
+    (
+        df.drop("segment_start", "start_year")
+        .join(starts, (F.col("place_id") == F.col("_p")) & (F.col("date").cast("date") == F.col("_day")))
+        .drop("_p", "_day")
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .write.mode("errorifexists")
+        .partitionBy("start_year")
+        .parquet(f"{path}/data")
+    )
+    index = segment_index(segments)
+    index.write.mode("errorifexists").parquet(f"{path}/index")
     return index
 
 

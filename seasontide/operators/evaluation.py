@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from seasontide.functions import scalars as S
+from seasontide.functions.checkpoints import reliable
 from seasontide.functions.ordering import first_n, join_on, keep_first
 from seasontide.functions.quantiles import exact_percentiles, level_percentiles, with_percentiles
 
@@ -160,8 +161,10 @@ def sample_locations(df: DataFrame, most: int | None, seed: int) -> DataFrame:
 def collapse_predictions(df: DataFrame) -> DataFrame:
     """One row per (date, location, stage): median values, first constants, row count.
 
-    A key may hold any number of copies, so the medians are exact percentiles
-    over value counts and everything else is a partial aggregate.
+    One aggregate finds the constants, and the number, least and greatest of the values.
+    These settle the median of a key with at most two values, or with equal ones. Only
+    where other keys are left are their rows read again, for exact percentiles over value
+    counts, as a key may hold any number of copies.
     """
     keys = list(PREDICTION)
     medians = {"predicted_days": ("predicted_days", 0.5)}
@@ -169,10 +172,25 @@ def collapse_predictions(df: DataFrame) -> DataFrame:
         medians["raw_signed_days"] = ("raw_signed_days", 0.5)
     skipped = {*keys, *medians, "predicted_stage_date"}
     constants = [c for c in df.columns if c not in skipped]
-    summary = df.groupBy(*keys).agg(
-        *[F.min(c).alias(c) for c in constants], F.count(F.lit(1)).alias("n_rows")
-    )
-    out = with_percentiles(summary, df, keys, medians)
+    # NaN is no value, as in the percentiles
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in medians}
+    bounds = [f(v).alias(f"_{name}_{c}") for c, v in value.items() for name, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
+    summary = reliable(
+        df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in constants], F.count(F.lit(1)).alias("n_rows"), *bounds)
+    )
+    settled = F.lit(True)
+    for c in medians:
+        settled &= (F.col(f"_n_{c}") <= 2) | (F.col(f"_lo_{c}") == F.col(f"_hi_{c}"))
+    plain = summary.where(settled).select(
+        *keys, *constants, "n_rows", *[(F.col(f"_lo_{c}") + (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * 0.5).alias(c) for c in medians]
+    )
+    many = summary.where(~settled).select(*keys, *constants, "n_rows")
+    if many.isEmpty():
+        out = plain
+    else:
+        wanted = many.select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+        same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
+        out = plain.unionByName(with_percentiles(many, df.join(wanted, same, "left_semi"), keys, medians))
     return out.withColumn(
         "predicted_stage_date",
         S.plus_whole_days(F.to_date("prediction_date"), F.col("predicted_days")),

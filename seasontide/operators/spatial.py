@@ -285,9 +285,13 @@ def nearest_in_box(
 ) -> DataFrame:
     """Per point and day, the nearest weather row inside a +-``box`` degree square.
 
-    The search runs once per distinct coordinate pair.  Those are copied to the
-    nine cells around them, weather rows stay in one cell, so the join is an
-    equi-join on the cell; the nearest row is a partial aggregate.
+    Only distinct coordinate pairs and distinct centroids are searched: points are
+    copied to the nine cells around them, centroids stay in one cell, so the join is an
+    equi-join on the cell that no day multiplies.  A centroid brings its days as one
+    array, bounded by the calendar; per point and day the least (distance, place_id)
+    wins as a partial aggregate of four narrow values.  Weather values are fetched for
+    winners only, by centroid and date.  Of several weather rows of one centroid and
+    date the least in the order of the columns counts.
     """
     days = (F.lit(start).cast("date"), F.lit(end).cast("date"))
 
@@ -310,26 +314,41 @@ def nearest_in_box(
             (cell(F.col("_plon")) + F.col("_dx")).alias("_cx"),
         )
     )
-    daily = weather.where(F.col("date").between(*days)).withColumns(
-        {"_cy": cell(F.col("centroid_lat")), "_cx": cell(F.col("centroid_lon"))}
+    daily = weather.where(F.col("date").between(*days))
+    centroids = (
+        daily.groupBy(
+            F.col("place_id").alias("_place"),
+            F.col("centroid_lat").alias("_clat"),
+            F.col("centroid_lon").alias("_clon"),
+        )
+        .agg(F.collect_set("date").alias("_days"))
+        .withColumns({"_cy": cell(F.col("_clat")), "_cx": cell(F.col("_clon"))})
     )
-    inside = F.col("centroid_lat").between(F.col("_plat") - box, F.col("_plat") + box) & F.col(
-        "centroid_lon"
+    inside = F.col("_clat").between(F.col("_plat") - box, F.col("_plat") + box) & F.col(
+        "_clon"
     ).between(F.col("_plon") - box, F.col("_plon") + box)
+    distance = S.haversine_km(F.col("_plat"), F.col("_plon"), F.col("_clat"), F.col("_clon"))
+    winners = (
+        spread.join(centroids, ["_cy", "_cx"])
+        .where(inside)
+        .withColumn("distance_km", distance)
+        .withColumn("_near", F.struct("distance_km", "_place", "_clat", "_clon"))
+        .select("_plat", "_plon", "_near", F.explode("_days").alias("_date"))
+        .groupBy("_plat", "_plon", "_date")
+        .agg(F.min("_near").alias("_near"))
+        .select("_plat", "_plon", "_date", "_near.*")
+    )
     kept = [F.col(c) for c in weather.columns if c != "date"]
-    distance = S.haversine_km(
-        F.col("_plat"), F.col("_plon"), F.col("centroid_lat"), F.col("centroid_lon")
+    at = (
+        F.col("place_id").eqNullSafe(F.col("_place"))
+        & (F.col("centroid_lat") == F.col("_clat"))
+        & (F.col("centroid_lon") == F.col("_clon"))
+        & (F.col("date") == F.col("_date"))
     )
     nearest = (
-        daily.join(spread, ["_cy", "_cx"])
-        .where(inside)
-        .withColumn("distance_km", distance)
+        daily.join(winners, at)
         .groupBy("_plat", "_plon", "date")
-        .agg(
-            F.min_by(
-                F.struct(*kept, "distance_km"), F.struct("distance_km", "place_id")
-            ).alias("_row")
-        )
+        .agg(F.min(F.struct(*kept, "distance_km")).alias("_row"))
     )
     return named.join(nearest, ["_plat", "_plon"]).select("point_id", "date", "_row.*")
 

@@ -1,6 +1,9 @@
 """Skew, whole results and plan shapes."""
 
+import datetime
+import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from seasontide.functions.ordering import first_n, keep_first, number_rows
 from seasontide.functions.quantiles import exact_percentiles
 from seasontide.operators import evaluation as H
 from seasontide.operators import features as D
+from seasontide.operators import spatial as C
 from seasontide.plans import catalog
 
 
@@ -82,6 +86,54 @@ def test_collapse_of_a_hot_key(spark):
     assert len(got) == 51 and got["hot"].n_rows == 3001 and got["hot"].predicted_days == 3.0
 
 
+def test_collapse_equals_exact_medians(spark):
+    """Keys with none, one, two, equal and many values, NULL keys and NaN values."""
+    values = {"none": [None, float("nan")], "one": [2.5], "two": [1.25, 4.0], "same": [3.5] * 9, "many": [0.1 * i for i in range(8)], None: [5.0, 1.0, 2.0]}
+    rows = [("2025-04-01", k, 1, v, v, "p") for k, own in values.items() for v in own]
+    schema = "prediction_date string, location_id string, stage_id int, predicted_days double, raw_signed_days double, place_id string"
+    df = spark.createDataFrame(rows, schema).withColumn("prediction_date", F.to_date("prediction_date"))
+    got = {r.location_id: r for r in H.collapse_predictions(df).collect()}
+    for key, own in values.items():
+        clean = [v for v in own if v is not None and v == v]
+        want = statistics.median(clean) if clean else None
+        assert got[key].predicted_days == pytest.approx(want) and got[key].raw_signed_days == pytest.approx(want)
+        assert got[key].n_rows == len(own)
+    assert H.collapse_predictions(df.where("false")).count() == 0
+
+
+def test_collapse_of_few_copies_shuffles_once(spark):
+    rows = [("2025-04-01", str(i // 2), 1, float(i), "p") for i in range(100)]
+    df = spark.createDataFrame(rows, "prediction_date string, location_id string, stage_id int, predicted_days double, place_id string")
+    assert "Exchange" not in plan_of(H.collapse_predictions(df.withColumn("prediction_date", F.to_date("prediction_date"))))
+
+
+def test_box_search_in_a_dense_cell(spark):
+    """300 centroids in one cell, one of them in use for most points, days missing at random."""
+    rng = np.random.default_rng(5)
+    centroids = [(f"p{i:03}", float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0.0, 0.5, (300, 2)))]
+    days = [datetime.date(2025, 4, d) for d in (1, 2, 3)]
+    rows = [(*c, d, float(i)) for i, c in enumerate(centroids) for d in days if (i + d.day) % 3]
+    rows += [rows[0], (None, 0.2, 0.2, days[0], -1.0)]
+    weather = spark.createDataFrame(rows, "place_id string, centroid_lat double, centroid_lon double, date date, t double")
+    points = [(i, 0.21, 0.21) for i in range(200)] + [(200 + i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-0.3, 0.8, (20, 2)))]
+    named = spark.createDataFrame(points, "point_id int, latitude double, longitude double")
+    found = C.nearest_in_box(named, weather, "2025-04-01", "2025-04-02")
+    got = {(r.point_id, r.date): (r.place_id, r.t) for r in found.collect()}
+
+    def km(a, b, c, d):
+        a, b, c, d = map(math.radians, (a, b, c, d))
+        return math.asin(math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2))
+
+    want = {}
+    for point, lat, lon in points:
+        for day in days[:2]:
+            near = [(km(lat, lon, r[1], r[2]), r[0] or "", r) for r in rows if r[3] == day and abs(r[1] - lat) <= 0.5 and abs(r[2] - lon) <= 0.5]
+            if near:
+                row = min(near)[2]
+                want[point, day] = (row[0], row[4])
+    assert got == want and found.count() == len(want)
+
+
 def test_daily_dedupe_bounds_the_season_window(spark):
     days = spark.sql(
         "SELECT 'p' AS place_id, explode(sequence(DATE'2024-03-01', DATE'2025-02-28')) AS date"

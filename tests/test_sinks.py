@@ -71,6 +71,9 @@ def test_cache_rebuild_is_dry_unless_applied(spark, tmp_path):
     assert spark.read.parquet(f"{path}/index").where("place_id = 'p'").count() == 2
     starts = {r[0] for r in stored.select(F.col("segment_start").cast("string")).distinct().collect()}
     assert starts == {"20250401", "20250405"}
+    # the segment travels with the row: no join on a range of days, a folder per year
+    assert [d.name for d in (tmp_path / "cache" / "data").iterdir() if d.is_dir()] == ["start_year=2025"]
+    assert {(r.place_id, str(r.date)[:10]) for r in stored.collect()} == {(r.place_id, str(r.date)[:10]) for r in rows.collect()}
 
 
 def test_snapshots_by_cutoff(spark, tmp_path):
