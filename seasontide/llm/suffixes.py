@@ -71,40 +71,44 @@ def _heads(documents: DataFrame, least: int) -> DataFrame:
 
 
 def _matched(suffixes: DataFrame) -> DataFrame:
-    """(doc_id, place) of suffixes whose head equals that of a neighbour in sorted order.
+    """(doc_id, print1, place) of suffixes whose head equals that of a neighbour in sorted order.
 
-    The order has the document and place as its last keys, so no head is hot. Rows at
+    The order has the text and place as its last keys, so no head is hot. Rows at
     the ends of a range are kept, as one neighbour isn't seen.
     """
-    ordered = suffixes.repartitionByRange("head", "doc_id", "place").sortWithinPartitions("head", "doc_id", "place")
+    order = ["head", "doc_id", "print1", "place"]
+    ordered = suffixes.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches):
         last, linked = None, True
 
-        def emit(ids, places, keep):
-            return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(places[keep].astype(np.int32))], ["doc_id", "place"])
+        def emit(ids, prints, places, keep):
+            columns = [pa.array(ids[keep]), pa.array(prints[keep]), pa.array(places[keep].astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "print1", "place"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            heads, ids, places = (np.asarray(batch.column(i)) for i in range(3))
+            heads, ids, prints, places = (np.asarray(batch.column(i)) for i in range(4))
             if last is not None:
-                heads, ids, places = (np.concatenate(x) for x in zip(last, (heads, ids, places)))
+                heads, ids, prints, places = (np.concatenate(x) for x in zip(last, (heads, ids, prints, places)))
             equal = heads[1:] == heads[:-1]
             keep = np.concatenate(([linked], equal))
             keep[:-1] |= equal
-            last, linked = (heads[-1:], ids[-1:], places[-1:]), bool(keep[-1])
-            yield emit(ids[:-1], places[:-1], keep[:-1])
+            last, linked = (heads[-1:], ids[-1:], prints[-1:], places[-1:]), bool(keep[-1])
+            yield emit(ids[:-1], prints[:-1], places[:-1], keep[:-1])
         if last is not None:
-            yield emit(last[1], last[2], np.array([True]))
+            yield emit(*last[1:], np.array([True]))
 
-    return ordered.mapInArrow(run, "doc_id long, place int")
+    return ordered.mapInArrow(run, "doc_id long, print1 long, place int")
 
 
 def _passages(documents: DataFrame, matched: DataFrame, least: int) -> DataFrame:
-    """(passage, doc_id, start): passages of ``least`` words whose minimiser is a matched suffix; stored."""
-    places = matched.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    rows = documents.select("doc_id", "text").join(places, "doc_id").select("doc_id", "text", "places")
+    """(passage, doc_id, print1, start): passages of ``least`` words whose minimiser is a matched suffix; stored."""
+    key = ["doc_id", "print1"]
+    places = matched.groupBy(*key).agg(F.collect_set("place").alias("places"))
+    texts = documents.select("doc_id", "text", F.xxhash64("text").alias("print1"))
+    rows = texts.join(places, key).select("doc_id", "text", "places", "print1")
 
     def run(batches):
         for batch in batches:
@@ -118,12 +122,13 @@ def _passages(documents: DataFrame, matched: DataFrame, least: int) -> DataFrame
                     starts = np.flatnonzero(np.isin(at, wanted))
                     if len(starts):
                         own = whole[begin[i] : begin[i + 1]][starts].view(np.int64)
-                        ids = pa.array([batch.column(0)[row + i].as_py()] * len(starts), pa.int64())
+                        ids, prints = (pa.repeat(batch.column(c)[row + i], len(starts)) for c in (0, 3))
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(own), ids, pa.array(starts.astype(np.int32))], ["passage", "doc_id", "start"]
+                            [pa.array(own), ids, prints, pa.array(starts.astype(np.int32))],
+                            ["passage", "doc_id", "print1", "start"],
                         )
 
-    return stored(rows.mapInArrow(run, "passage long, doc_id long, start int"), "passages")
+    return stored(rows.mapInArrow(run, "passage long, doc_id long, print1 long, start int"), "passages")
 
 
 def repeated_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
@@ -136,28 +141,36 @@ def repeated_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     be the document itself. A document without repeats has no row. Exact copies of a
     whole text are one row each, pointing to the smallest doc_id, and are not searched.
     Null, empty and short texts and rows with a null doc_id have no passages. Rows
-    that repeat a doc_id with different texts should not be given: their words would
-    be numbered together; equal ones count as one document.
+    that repeat a doc_id with different texts are documents of their own, in the order
+    of a hash of their texts (``spans_of_texts`` tells them apart); equal ones count as one.
     """
+    return spans_of_texts(documents, least).select("doc_id", "start_word", "end_word", "first_doc_id")
+
+
+def spans_of_texts(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """``repeated_spans`` with ``print1``, the xxhash64 of the text that a span lies in."""
     heads = _heads(documents, least)
     prints = ["print1", "print2"]
     firsts = heads.groupBy(*prints).agg(F.min("doc_id").alias("rep"))
     named = heads.join(firsts, prints)
     copies = named.where("doc_id != rep").select(
-        "doc_id", F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("end_word"), F.col("rep").alias("first_doc_id")
+        "doc_id", "print1", F.lit(0).alias("start_word"), F.col("n_words").cast("int").alias("end_word"), F.col("rep").alias("first_doc_id")
     )
     suffixes = named.where("doc_id = rep").select(
-        "doc_id", F.explode(F.arrays_zip("heads", "places")).alias("s")
-    ).select(F.col("s.heads").alias("head"), "doc_id", F.col("s.places").alias("place"))
+        "doc_id", "print1", F.explode(F.arrays_zip("heads", "places")).alias("s")
+    ).select(F.col("s.heads").alias("head"), "doc_id", "print1", F.col("s.places").alias("place"))
     passages = _passages(documents, _matched(suffixes), least)
-    origin = passages.groupBy("passage").agg(F.min(F.struct("doc_id", "start")).alias("origin"), F.count(F.lit(1)).alias("n"))
-    origin = origin.where("n > 1").select("passage", F.col("origin.doc_id").alias("first_doc_id"), F.col("origin.start").alias("first_start"))
-    again = passages.join(origin, "passage").where("doc_id != first_doc_id or start != first_start").distinct()
+    first = F.min(F.struct("doc_id", "print1", "start")).alias("first")
+    origin = passages.groupBy("passage").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("passage", "first")
+    again = passages.join(origin, "passage").where(F.struct("doc_id", "print1", "start") != F.col("first")).distinct()
     # a passage that overlaps its own first occurrence repeats only what lies behind that
-    lo = F.when(F.col("doc_id") == F.col("first_doc_id"), F.greatest("start", F.col("first_start") + least)).otherwise(F.col("start"))
-    again = again.select("doc_id", lo.alias("lo"), (F.col("start") + least).alias("hi"), "first_doc_id").where("lo < hi")
+    own = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("print1") == F.col("first.print1"))
+    lo = F.when(own, F.greatest("start", F.col("first.start") + least)).otherwise(F.col("start"))
+    again = again.select(
+        "doc_id", "print1", lo.alias("lo"), (F.col("start") + least).alias("hi"), F.col("first.doc_id").alias("first_doc_id")
+    ).where("lo < hi")
     # a document's passages are as many as its words; spans are islands of overlapping ones
-    order = Window.partitionBy("doc_id").orderBy("lo", "hi", "first_doc_id")
+    order = Window.partitionBy("doc_id", "print1").orderBy("lo", "hi", "first_doc_id")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.coalesce(F.col("lo") > F.col("reach"), F.lit(True))).cast("int")).over(
         order.rowsBetween(Window.unboundedPreceding, 0)
@@ -165,7 +178,7 @@ def repeated_spans(documents: DataFrame, least: int = LEAST) -> DataFrame:
     spans = (
         again.withColumn("reach", reach)
         .withColumn("island", island)
-        .groupBy("doc_id", "island")
+        .groupBy("doc_id", "print1", "island")
         .agg(
             F.min("lo").cast("int").alias("start_word"), F.max("hi").cast("int").alias("end_word"),
             F.min_by("first_doc_id", F.struct("lo", "hi", "first_doc_id")).alias("first_doc_id"),
@@ -191,24 +204,27 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 def remove_repeats(documents: DataFrame, least: int = LEAST) -> DataFrame:
     """``documents`` without the repeated spans; documents with no word left are dropped.
 
-    Documents without spans pass unchanged, empty ones included. All columns stay.
+    Documents without spans pass unchanged, empty ones included. All columns stay,
+    whatever their names. Rows that repeat a doc_id are cut each by its own text's spans.
     """
-    spans = repeated_spans(documents, least)
-    lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
-    # a column that rows of their own name can't clash with
-    rows = documents.join(lists, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-    at = documents.columns.index("text")
+    spans = spans_of_texts(documents, least)
+    lists = spans.groupBy(F.col("doc_id").alias("_id"), F.col("print1").alias("_print")).agg(
+        F.collect_list(F.struct("start_word", "end_word")).alias("spans")
+    )
+    # other columns travel in a struct, so that their names can't clash with inner ones
+    packed = documents.select(F.struct(*[c for c in documents.columns if c != "text"]).alias("row"), "text")
+    same = (F.col("row.doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
+    rows = packed.join(lists, same, "left").select("text", "spans", "row")
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            spans = batch.column(batch.num_columns - 1).to_pylist()
-            for i, own in enumerate(spans):
+            texts = batch.column(0).to_pylist()
+            for i, own in enumerate(batch.column(1).to_pylist()):
                 if own and texts[i]:
                     texts[i] = cut(texts[i], [(s["start_word"], s["end_word"]) for s in own])
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
+            columns = [pa.array(texts, pa.string()), batch.column(1), batch.column(2)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     cleaned = rows.mapInArrow(run, rows.schema)
-    left = F.col("_spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return cleaned.where(left).drop("_spans")
+    left = F.col("spans").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cleaned.where(left).select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in documents.columns])

@@ -9,6 +9,7 @@ import harness
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from seasontide.llm import chat, common, components, forest, grid_join, language, mixing, pieces, quality, queries, suffixes, token_files, warc
 
@@ -232,8 +233,6 @@ def test_mix_targets_and_awkward(spark, odd, none):
 
 
 def test_inverse_demand(spark):
-    from pyspark.sql import functions as F
-
     for points in mixing.SCHEDULES:
         u = np.linspace(0, 1, 100_001)
         w = np.interp(u, *zip(*points))
@@ -364,6 +363,17 @@ def test_vector_duplicates_many_stretches(spark, monkeypatch):
         assert (r.n_links, r.component_id) == (near[r.vec_id].sum() - 1, low[r.vec_id])
 
 
+def test_repeats_of_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("a", 60), ("b", 900), ("c", 60)))
+    rows = [(1, a + " " + b, 7), (1, c, 7), (2, c + " tail", 7), (2, b + " end", 7), (2, b + " end", 7), (3, c, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, print1 int").selectExpr("*", "1 as spans", "2 as row", "3 as _id", "4 as _print")
+    cleaned = suffixes.remove_repeats(frame)
+    assert cleaned.columns == frame.columns and {(r.print1, r.spans, r.row) for r in cleaned.collect()} == {(7, 1, 2)}
+    assert sorted((r.doc_id, r.text) for r in cleaned.collect()) == sorted(
+        [(1, a + " " + b), (1, c), (2, "tail"), (2, "end"), (2, "end")]
+    )
+
+
 # ---- 9 quality, 10 languages
 
 
@@ -385,8 +395,6 @@ def test_repeats_of_long_texts(spark):
 
 
 def test_inverse_matrix(spark):
-    from pyspark.sql import functions as F
-
     a = np.random.default_rng(1).normal(size=(6, 6))
     a = a @ a.T + np.eye(6)
     found = spark.range(1).select(quality._inverse(F.array(*[F.lit(float(x)) for x in a.ravel()]), 6)).first()[0]
@@ -394,8 +402,6 @@ def test_inverse_matrix(spark):
 
 
 def test_languages(spark, sf, odd, none):
-    from pyspark.sql import functions as F
-
     frame = common.table(spark, sf, "documents")
     found = language.identify(frame).join(frame.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in found]) > 0.95 and all(0 <= r.score <= 1 for r in found)
@@ -442,7 +448,24 @@ def test_pipeline(spark, sf):
 def test_pipeline_awkward(spark, odd, none):
     import corpus_pipeline as p
 
+    clash = {x: x for x in ("size", "words", "taken", "position", "component", "pool", "_key", "_row", "_id", "_spans", "_name")}
     for frame in (odd, none):
         for _, stage in p.STAGES:
-            docs = frame.select("doc_id", "text", "lang", "source", "n_chars")
-            assert stage(spark, docs, "").count() <= 2 * len(TEXTS)
+            docs = frame.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(x).alias(x) for x in clash])
+            out = stage(spark, docs, "")
+            assert out.count() <= 2 * len(TEXTS)
+            if stage != p.token_ids:
+                assert out.columns == docs.columns and all({**r.asDict(), **clash} == r.asDict() for r in out.collect())
+
+
+def test_pipeline_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(4, a, "en"), (4, b, "en"), (4, b, "fr"), (3, b + " more", "en"), (5, a, "en"), (6, c, "en"), (None, c, "en"), (None, c, "en")]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    one = lambda: sorted((r.doc_id or 0, r.text, r.lang) for r in p.one_of_each(spark, docs.repartition(4), "").collect())
+    assert one() == sorted([(4, a, "en"), (3, b + " more", "en"), (6, c, "en"), (0, c, "en"), (0, c, "en")]) == one()
+    # two equal rows are read as two documents: taken words stay at the target
+    twice = docs.where("doc_id is null")
+    assert sum(len(WORD.findall(r.text)) for r in p.training_mix(spark, twice, "").collect()) == 300
