@@ -1,15 +1,17 @@
 """Quality rules: base statistics, and robust multivariate outliers per language and source.
 
 The minimum covariance determinant (MCD) of a group is sought by concentration
-steps: take the mean and covariance of the rows that are nearest so far, measure
-every row's Mahalanobis distance, keep the nearest three quarters, and repeat.
-All groups step at once: each step is one pass of sums and one of a mergeable
-quantile over a narrow table. Only DataFrame and SQL functions are used.
+steps from two starts, the mean of all rows and the medians: measure every row's
+Mahalanobis distance, take mean and covariance of the nearest three quarters, and
+repeat; the start with the smaller determinant counts. All groups and starts step at
+once, each step one pass of sums per distance bin over a narrow table. Statistics are
+whole numbers of 1/1024 in these sums, so they are exact in any order and reruns
+agree. Only DataFrame and SQL functions are used.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasontide.llm.common import GAP, stored
@@ -22,8 +24,10 @@ FLOORS = (0.5, 0.08, 0.05, 0.1, 0.15, 0.06)
 #: its nearest such share is: 0.75 / P(chi-squared(8) <= 7.84), 7.84 being the 0.75 quantile for 6 features.
 CORE, WIDEN = 0.75, 1.36
 STEPS = 4
-#: Rows that a group needs for estimates of its own; smaller ones share those of their language, then of all.
-GROUP_ROWS = 200
+#: A group of n sound rows counts n / (n + PRIOR_ROWS) in its estimates, those of its language (and in turn of all rows) the rest.
+PRIOR_ROWS = 200
+#: Parts of a unit that statistics are rounded to, and bins per doubling of a squared distance.
+UNIT, BINS = 1024, 32
 #: Squared distance from which a document goes: chi-squared(6) at 1 - 1e-6.
 CUT = 38.3
 
@@ -100,10 +104,11 @@ def _features(stats: DataFrame) -> DataFrame:
     )
 
 
-def _inverse(matrix: Column, d: int) -> Column:
-    """Gauss-Jordan elimination of a positive definite matrix held row by row in one array."""
+def _eliminated(matrix: Column, d: int) -> Column:
+    """(m, log_det): inverse by Gauss-Jordan elimination and log determinant of a positive definite matrix in one array."""
 
-    def eliminate(m: Column, k: Column) -> Column:
+    def eliminate(state: Column, k: Column) -> Column:
+        m = state["m"]
         pivot = F.get(m, k * d + k)
 
         def cell(x: Column, at: Column) -> Column:
@@ -116,35 +121,47 @@ def _inverse(matrix: Column, d: int) -> Column:
                 .otherwise(x - col * row / pivot)
             )
 
-        return F.transform(m, cell)
+        return F.struct(F.transform(m, cell).alias("m"), (state["log_det"] + F.log(pivot)).alias("log_det"))
+
+    begin = F.struct(matrix.alias("m"), F.lit(0.0).alias("log_det"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), begin, eliminate)
+
+
+def _inverse(matrix: Column, d: int) -> Column:
+    return _eliminated(matrix, d)["m"]
+
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), matrix, eliminate)
+_PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 
-def _moments(rows: DataFrame, widen: float) -> DataFrame:
-    """Mean and inverse covariance per group; variances get the squared floors added."""
+def _sums() -> list[Column]:
+    """Number of rows and exact sums of the whole-number statistics and their products."""
+    first = [F.sum(x).alias(f"s_{i}") for i, x in enumerate(FEATURES)]
+    return [F.count(F.lit(1)).alias("n"), *first, *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i, j in _PAIRS]]
+
+
+def _estimates(sums: DataFrame, widen: float) -> DataFrame:
+    """pool, start, centre, spread (covariance times ``widen``, squared floors added), inverse and log_det from sums."""
     d = len(FEATURES)
-    # all features are of order 1, so that sums of products lose no digits that matter
-    sums = [F.avg(x).alias(f"m_{i}") for i, x in enumerate(FEATURES)]
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    found = rows.groupBy("pool").agg(
-        *sums, *[F.avg(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i, j in pairs]
-    )
+    mean = [F.col(f"s_{i}") / F.col("n") for i in range(d)]
     cells = []
     for i in range(d):
         for j in range(d):
             a, b = min(i, j), max(i, j)
-            c = (F.col(f"q_{a}_{b}") - F.col(f"m_{a}") * F.col(f"m_{b}")) * widen
+            c = (F.col(f"q_{a}_{b}") / F.col("n") - mean[a] * mean[b]) * (widen / UNIT**2)
             cells.append(c + FLOORS[i] ** 2 if i == j else c)
-    return found.select(
-        "pool", F.array(*[f"m_{i}" for i in range(d)]).alias("centre"), _inverse(F.array(*cells), d).alias("inverse")
-    )
+    return _solved(sums.select("pool", "start", F.array(*[m / UNIT for m in mean]).alias("centre"), F.array(*cells).alias("spread")))
+
+
+def _solved(estimates: DataFrame) -> DataFrame:
+    solved = estimates.withColumn("_s", _eliminated(F.col("spread"), len(FEATURES)))
+    return solved.select(*estimates.columns, F.col("_s.m").alias("inverse"), F.col("_s.log_det").alias("log_det"))
 
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance of a row's features from its group's centre."""
+def _distance(unit: int = 1) -> Column:
+    """Squared Mahalanobis distance of a row's features (in parts of ``unit``) from its group's centre."""
     d = len(FEATURES)
-    away = [F.col(x) - F.get("centre", F.lit(i)) for i, x in enumerate(FEATURES)]
+    away = [F.col(x) / unit - F.get("centre", F.lit(i)) for i, x in enumerate(FEATURES)]
     total = F.lit(0.0)
     for i in range(d):
         for j in range(i, d):
@@ -152,14 +169,63 @@ def _distance() -> Column:
     return total
 
 
+def _starts(sound: DataFrame) -> DataFrame:
+    """Two starts per pool: mean and covariance of all rows; medians with quartile spreads and no covariance.
+
+    A percentile's buffer holds a pool's distinct values, of which whole numbers of
+    1/1024 have some 20,000 at most.
+    """
+    d = len(FEATURES)
+    quartiles = [F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"p_{i}") for i, x in enumerate(FEATURES)]
+    plain = _estimates(sound.groupBy("pool").agg(*_sums()).withColumn("start", F.lit(0)), 1.0)
+    part = lambda i, k: F.get(f"p_{i}", F.lit(k)) / UNIT
+    # quartiles of a normal cloud lie 1.349 deviations apart
+    own = [((part(i, 2) - part(i, 0)) / 1.349) ** 2 + FLOORS[i] ** 2 for i in range(d)]
+    spread = F.array(*[own[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)])
+    medians = sound.groupBy("pool").agg(*quartiles)
+    medians = medians.select("pool", F.lit(1).alias("start"), F.array(*[part(i, 1) for i in range(d)]).alias("centre"), spread.alias("spread"))
+    return plain.unionByName(_solved(medians))
+
+
+def _step(sound: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Estimates from the rows in the nearest bins that hold CORE of a pool; ties share a bin."""
+    away = sound.join(estimates.select("pool", "start", "centre", "inverse"), "pool")
+    nearness = F.floor(F.log2(F.greatest(_distance(UNIT), F.lit(0.0)) + 2.0**-10) * BINS).cast("int")
+    bins = away.withColumn("bin", nearness).groupBy("pool", "start", "bin").agg(*_sums())
+    pool = Window.partitionBy("pool", "start")
+    before = F.coalesce(F.sum("n").over(pool.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    core = bins.withColumn("before", before).withColumn("rows", F.sum("n").over(pool)).where(F.col("before") < CORE * F.col("rows"))
+    names = ["n", *[f"s_{i}" for i in range(len(FEATURES))], *[f"q_{i}_{j}" for i, j in _PAIRS]]
+    return _estimates(core.groupBy("pool", "start").agg(*[F.sum(c).alias(c) for c in names]), WIDEN)
+
+
+def _blend(own: str, parent: str) -> Column:
+    """Centre and spread of a mixture: ``own`` with n / (n + PRIOR_ROWS) of the weight, ``parent`` with the rest."""
+    d = len(FEATURES)
+    w = F.col(f"{own}.n") / (F.col(f"{own}.n") + PRIOR_ROWS)
+    a, b = F.col(f"{own}.centre"), F.col(f"{parent}.centre")
+    apart = lambda i: F.get(a, i) - F.get(b, i)
+    centre = F.zip_with(a, b, lambda x, y: w * x + (1 - w) * y)
+    spread = F.transform(
+        F.col(f"{own}.spread"),
+        lambda x, k: w * x
+        + (1 - w) * F.get(F.col(f"{parent}.spread"), k)
+        + w * (1 - w) * apart(F.floor(k / d).cast("int")) * apart(k % d),
+    )
+    mixed = F.struct(F.col(f"{own}.n").alias("n"), centre.alias("centre"), spread.alias("spread"))
+    return F.when(F.col(own).isNull(), F.col(parent)).otherwise(mixed)
+
+
 def robust_outliers(stats: DataFrame) -> DataFrame:
     """Add ``distance`` (squared robust Mahalanobis distance) and ``outlier`` to base statistics.
 
     ``stats`` has lang and source; nulls are values of their own. Estimates rest on
-    the rows that did not fail the base rules. Groups below ``GROUP_ROWS`` such rows
-    take those of their language, and languages below it those of all; where no row
-    is left, nothing is an outlier (distance null). Rows that failed the base rules
-    are measured too. Ties at the core's edge are all kept, so reruns agree.
+    the rows that did not fail the base rules. Those of a language and source are mixed
+    with those of the language, and these with those of all rows, by the number of
+    rows, so that no count switches between them; where no row is left, nothing is an
+    outlier (distance null). Rows that failed the base rules are measured too. The
+    core is the nearest bins of distance (2 % wide) that hold three quarters; rows of
+    a bin are in it or out together.
     """
     keyed = _features(stats).withColumns(
         {
@@ -168,23 +234,25 @@ def robust_outliers(stats: DataFrame) -> DataFrame:
         }
     )
     keyed = stored(keyed, "statistics")
-    sound = keyed.where(~F.col("base_failed"))
-    own = sound.groupBy("_g", "_l").count().where(F.col("count") >= GROUP_ROWS).select("_g", F.lit(True).alias("_own"))
-    tongue = sound.groupBy("_l").count().where(F.col("count") >= GROUP_ROWS).select("_l", F.lit(True).alias("_tongue"))
     # three levels of rows: each estimate is made from all rows of its level
-    levels = F.array("_g", "_l", F.lit("all"))
-    core = sound.select(F.explode(levels).alias("pool"), *FEATURES)
-    moments = stored(_moments(core, 1.0), "moments")
+    levels = F.explode(F.array("_g", "_l", F.lit("all"))).alias("pool")
+    whole = [F.round(F.col(x) * UNIT).cast("long").alias(x) for x in FEATURES]
+    sound = keyed.where(~F.col("base_failed")).select(levels, *whole)
+    estimates = stored(_starts(sound), "estimates")
     for _ in range(STEPS):
-        away = sound.select(F.explode(levels).alias("pool"), *FEATURES).join(moments, "pool")
-        away = away.select("pool", *FEATURES, _distance().alias("d2"))
-        edge = away.groupBy("pool").agg(F.percentile_approx("d2", CORE, 1000).alias("edge"))
-        nearest = away.join(stored(edge, "edges"), "pool").where("d2 <= edge")
-        moments = stored(_moments(nearest, WIDEN), "moments")
-    pool = F.when(F.col("_own"), F.col("_g")).when(F.col("_tongue"), F.col("_l")).otherwise(F.lit("all"))
-    chosen = keyed.join(own, "_g", "left").join(tongue, "_l", "left").withColumn("pool", pool)
+        estimates = stored(_step(sound, estimates), "estimates")
+    # the least determinant, the mean's start on a tie
+    least = estimates.groupBy("pool").agg(F.min_by(F.struct("centre", "spread"), F.struct("log_det", "start")).alias("e"))
+    counts = sound.groupBy("pool").count()
+    found = least.join(counts, "pool").select("pool", F.struct(F.col("count").alias("n"), "e.centre", "e.spread").alias("e"))
+    found = stored(found, "least")
+    groups = keyed.select("_g", "_l").distinct().withColumn("_a", F.lit("all"))
+    for level, name in (("_g", "own"), ("_l", "tongue"), ("_a", "every")):
+        groups = groups.join(found.select(F.col("pool").alias(level), F.col("e").alias(name)), level, "left")
+    groups = groups.withColumn("tongue", _blend("tongue", "every")).withColumn("own", _blend("own", "tongue"))
+    groups = _solved(groups.select("_g", "own.centre", "own.spread")).select("_g", "centre", "inverse")
     return (
-        chosen.join(moments, "pool", "left")
+        keyed.join(stored(groups, "groups"), "_g", "left")
         .withColumn("distance", _distance())
         .withColumn("outlier", F.coalesce(F.col("distance") > CUT, F.lit(False)))
         .select(*stats.columns, "distance", "outlier")

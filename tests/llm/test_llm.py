@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -387,6 +388,80 @@ def test_quality_awkward(spark, sf, odd, none):
     assert [r.doc_id for r in quality.rate(frame).where("not kept").collect()] == [1000]
 
 
+def clouds(sizes, seed=3):
+    """Base statistics of made-up groups: (doc_id, lang, source, counts ...); each group's words differ in length."""
+    rng, rows = np.random.default_rng(seed), []
+    for g, (lang, source, n) in enumerate(sizes):
+        for _ in range(n):
+            words = int(rng.lognormal(6 + 0.2 * g, 0.5)) + 50
+            chars = int(words * rng.normal(4.5 + 0.5 * g, 0.3))
+            counts = [int(rng.binomial(chars, 0.01)), int(rng.poisson(1)), int(rng.binomial(words, 0.05)), int(rng.binomial(chars, 0.03))]
+            rows.append((len(rows), lang, source, words, chars, *counts, False))
+    return rows
+
+
+COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_shouts long, base_failed boolean"
+
+
+def plain_distances(rows):
+    """Concentration steps from both starts, the least determinant, and blends, one matrix at a time."""
+    x = {
+        r[0]: np.array([math.log(r[3]), math.log((r[4] + 1) / r[3]), math.sqrt(r[5] / (r[4] + 1)), math.log1p(r[6]) / 4,
+                        math.sqrt(r[7] / r[3]), math.sqrt(r[8] / (r[4] + 1))])
+        for r in rows
+    }
+    floors = np.diag(np.square(quality.FLOORS))
+
+    def robust(ids):
+        own, best = np.array([np.floor(x[i] * 1024 + 0.5) / 1024 for i in ids]), []
+        quartiles = np.quantile(own, [0.25, 0.5, 0.75], axis=0)
+        starts = [(own.mean(0), np.cov(own.T, bias=True) + floors), (quartiles[1], np.diag(((quartiles[2] - quartiles[0]) / 1.349) ** 2) + floors)]
+        for centre, spread in starts:
+            for _ in range(quality.STEPS):
+                d2 = np.einsum("ni,ij,nj->n", own - centre, np.linalg.inv(spread), own - centre)
+                bins = np.floor(np.log2(d2 + 2.0**-10) * quality.BINS)
+                core = own[bins <= np.sort(bins)[math.ceil(quality.CORE * len(own)) - 1]]
+                centre, spread = core.mean(0), quality.WIDEN * np.cov(core.T, bias=True) + floors
+            best.append((np.linalg.slogdet(spread)[1], centre, spread))
+        return (len(ids), *min(best, key=lambda b: b[0])[1:])
+
+    def blend(own, parent):
+        w, apart = own[0] / (own[0] + quality.PRIOR_ROWS), own[1] - parent[1]
+        return own[0], w * own[1] + (1 - w) * parent[1], w * own[2] + (1 - w) * parent[2] + w * (1 - w) * np.outer(apart, apart)
+
+    pools = collections.defaultdict(list)
+    for r in rows:
+        for key in ((r[1], r[2]), (r[1],), ()):
+            pools[key].append(r[0])
+    found = {key: robust(ids) for key, ids in pools.items()}
+    out = {}
+    for r in rows:
+        _, centre, spread = blend(found[r[1], r[2]], blend(found[(r[1],)], found[()]))
+        out[r[0]] = (x[r[0]] - centre) @ np.linalg.inv(spread) @ (x[r[0]] - centre)
+    return out
+
+
+def test_outliers_equal_plain_steps(spark):
+    """Against a plain version, over two layouts; a fifth of a group are planted outliers that the mean is drawn to."""
+    rows = clouds([("en", "a", 400), ("en", None, 60), (None, "b", 7), ("fr", "a", 150)])
+    spam = [(i, *r[1:5], r[4] // 3, r[6], r[3] // 2, *r[8:]) for i, r in enumerate(rows[:80], start=10_000)]
+    frame = spark.createDataFrame(rows + spam, COUNTS)
+    want = plain_distances(rows + spam)
+    got = [{r.doc_id: r.distance for r in quality.robust_outliers(frame.repartition(n)).collect()} for n in (2, 7)]
+    assert got[0] == got[1]
+    assert got[0] == {i: pytest.approx(d, rel=1e-6) for i, d in want.items()}
+    assert {i for i, d in got[0].items() if d > quality.CUT} >= {r[0] for r in spam}
+
+
+def test_no_count_switches_the_estimate(spark):
+    """One row more in a group moves distances by little, at 199 and 200 rows as elsewhere."""
+    rows = clouds([("en", "a", 300), ("en", "b", 201)])
+    frames = [spark.createDataFrame(rows[: 300 + n], COUNTS) for n in (199, 200, 201)]
+    found = [{r.doc_id: r.distance for r in quality.robust_outliers(f).collect()} for f in frames]
+    for a, b in zip(found, found[1:]):
+        assert max(abs(b[i] - a[i]) / (1 + a[i]) for i in a) < 0.1
+
+
 def test_repeats_of_long_texts(spark):
     """Two windows whose hashes agree in all but the last 20 bits, in a text of more than 2**19 words."""
     words = ["q257529", "left", "right", *(f"w{i}" for i in range(600_000)), "q14504582", "left", "right"]
