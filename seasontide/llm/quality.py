@@ -136,21 +136,23 @@ _PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
 
 def _sums() -> list[Column]:
     """Number of rows and exact sums of the whole-number statistics and their products."""
-    first = [F.sum(x).alias(f"s_{i}") for i, x in enumerate(FEATURES)]
-    return [F.count(F.lit(1)).alias("n"), *first, *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q_{i}_{j}") for i, j in _PAIRS]]
+    first = [f"sum({x}) AS s_{i}" for i, x in enumerate(FEATURES)]
+    products = [f"sum({FEATURES[i]} * {FEATURES[j]}) AS q_{i}_{j}" for i, j in _PAIRS]
+    return [F.expr(x) for x in ("count(1) AS n", *first, *products)]
 
 
 def _estimates(sums: DataFrame, widen: float) -> DataFrame:
     """pool, start, centre, spread (covariance times ``widen``, squared floors added), inverse and log_det from sums."""
     d = len(FEATURES)
-    mean = [F.col(f"s_{i}") / F.col("n") for i in range(d)]
+    centre = ", ".join(f"s_{i} / n / {UNIT}D" for i in range(d))
     cells = []
     for i in range(d):
         for j in range(d):
             a, b = min(i, j), max(i, j)
-            c = (F.col(f"q_{a}_{b}") / F.col("n") - mean[a] * mean[b]) * (widen / UNIT**2)
-            cells.append(c + FLOORS[i] ** 2 if i == j else c)
-    return _solved(sums.select("pool", "start", F.array(*[m / UNIT for m in mean]).alias("centre"), F.array(*cells).alias("spread")))
+            floor = FLOORS[i] ** 2 if i == j else 0.0
+            cells.append(f"(q_{a}_{b} / n - (s_{a} / n) * (s_{b} / n)) * {widen / UNIT**2!r}D + {floor!r}D")
+    spread = ", ".join(cells)
+    return _solved(sums.select("pool", "start", F.expr(f"array({centre}) AS centre"), F.expr(f"array({spread}) AS spread")))
 
 
 def _solved(estimates: DataFrame) -> DataFrame:
@@ -161,12 +163,8 @@ def _solved(estimates: DataFrame) -> DataFrame:
 def _distance(unit: int = 1) -> Column:
     """Squared Mahalanobis distance of a row's features (in parts of ``unit``) from its group's centre."""
     d = len(FEATURES)
-    away = [F.col(x) / unit - F.get("centre", F.lit(i)) for i, x in enumerate(FEATURES)]
-    total = F.lit(0.0)
-    for i in range(d):
-        for j in range(i, d):
-            total = total + away[i] * away[j] * F.get("inverse", F.lit(i * d + j)) * (1.0 if i == j else 2.0)
-    return total
+    away = [f"({x} / {unit}D - get(centre, {i}))" for i, x in enumerate(FEATURES)]
+    return F.expr(" + ".join(f"{away[i]} * {away[j]} * get(inverse, {i * d + j}) * {1 if i == j else 2}D" for i, j in _PAIRS))
 
 
 def _starts(sound: DataFrame) -> DataFrame:
