@@ -47,7 +47,7 @@ def bag_count(keys: Sequence[str], tree: int) -> Column:
 
 @dataclass(frozen=True)
 class BaggedTrees:
-    """Trees with the keys that say which rows each of them saw."""
+    """Trees with the keys that say which rows each of them saw; None for a tree whose bag is empty."""
 
     trees: tuple
     features: tuple[str, ...]
@@ -62,20 +62,24 @@ class BaggedTrees:
             inputCols=[f"_f_{c}" for c in self.features], outputCol="_features", handleInvalid="keep"
         ).transform(typed)
         for i, tree in enumerate(self.trees):
+            if tree is None:
+                continue
             copy = tree.copy()
             copy.setPredictionCol(f"_t{i}")
             copy.setFeaturesCol("_features")
             out = copy.transform(out)
-        return out, [F.when(known, F.col(f"_t{i}")) for i in range(len(self.trees))]
+        return out, [(i, F.when(known, F.col(f"_t{i}"))) for i, tree in enumerate(self.trees) if tree is not None]
 
     def _drop(self, df: DataFrame) -> DataFrame:
         return df.drop("_features", *[f"_f_{c}" for c in self.features], *[f"_t{i}" for i in range(len(self.trees))])
 
     def predict(self, df: DataFrame, output: str = "pred") -> DataFrame:
-        """Mean of all trees; NULL where a feature is missing."""
+        """Mean of all trees; NULL where a feature is missing or there is no tree."""
         out, votes = self._votes(df)
-        total = votes[0]
-        for vote in votes[1:]:
+        if not votes:
+            return self._drop(out.withColumn(output, F.lit(None).cast("double")))
+        total = votes[0][1]
+        for _, vote in votes[1:]:
             total = total + vote
         return self._drop(out.withColumn(output, total / len(votes)))
 
@@ -83,7 +87,7 @@ class BaggedTrees:
         """Mean of the trees that missed the row, and their number; NULL where every tree saw it."""
         out, votes = self._votes(df)
         total, missed = F.lit(0.0), F.lit(0)
-        for i, vote in enumerate(votes):
+        for i, vote in votes:
             free = bag_count(self.keys, i) == 0
             total = total + F.when(free, vote).otherwise(0.0)
             missed = missed + free.cast("int")
@@ -99,7 +103,10 @@ def fit_bagged(
     trees: int = 50,
     params: Mapping | None = None,
 ) -> BaggedTrees:
-    """Regression trees on Poisson bags of the rows with all features and a label.  Pass a stored table: each tree reads it."""
+    """Regression trees on Poisson bags of the rows with all features and a label.  Pass a stored table: each tree reads it.
+
+    A bag without a row has no tree.
+    """
     typed = df.select(
         *dict.fromkeys(keys), *[S.number(F.col(c)).alias(f"_f_{c}") for c in features], F.col(label).cast("double").alias("_y")
     ).where(F.col("_y").isNotNull())
@@ -111,7 +118,7 @@ def fit_bagged(
     for i in range(trees):
         bag = rows.withColumn("_bag", bag_count(keys, i).cast("double")).where("_bag > 0")
         regressor = DecisionTreeRegressor(featuresCol="_features", labelCol="_y", weightCol="_bag", **chosen)
-        fitted.append(regressor.fit(bag))
+        fitted.append(None if bag.isEmpty() else regressor.fit(bag))
     return BaggedTrees(tuple(fitted), tuple(features), tuple(keys))
 
 
