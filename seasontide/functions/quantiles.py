@@ -53,6 +53,22 @@ def level_percentiles(
     return out
 
 
+def complement_percentiles(
+    df: DataFrame, key: str, groups: Sequence[int], wanted: Mapping[str, tuple[str, float]]
+) -> DataFrame:
+    """For each of a handful of ``groups``: ``exact_percentiles`` of the rows of all others.
+
+    Rows are counted by value once; only the counts are multiplied by the groups.
+    Rows without a ``key`` are left out.
+    """
+    columns = _columns(wanted)
+    named = F.array(*[F.lit(int(g)) for g in groups]).cast("array<int>")
+    counts = reliable(_value_counts(df.where(F.col(key).isNotNull()), [key], columns))
+    others = F.filter(named, lambda g: g != F.col(key))
+    spread = counts.withColumn("_g", F.explode(others)).groupBy("_g", "_m", "_v", "_b").agg(F.sum("_n").alias("_n"))
+    return _solve(spread, ["_g"], wanted).withColumnRenamed("_g", key)
+
+
 def _columns(wanted: Mapping[str, tuple[str, float]]) -> list[str]:
     return list(dict.fromkeys(column for column, _ in wanted.values()))
 

@@ -21,6 +21,7 @@ from seasontide.config import TARGET_IDS, Settings
 from seasontide.functions import scalars as S
 from seasontide.functions.checkpoints import reliable
 from seasontide.functions.ordering import keep_first
+from seasontide.functions.quantiles import complement_percentiles
 from seasontide.operators import calibrator as C
 from seasontide.operators import termination as T
 from seasontide.operators.audits import require_inference
@@ -172,6 +173,25 @@ def conformal_interval(
     )
 
 
+def cross_conformal_interval(
+    df: DataFrame, season: str, alpha: float, pred: str = "pred", error: str = "error"
+) -> DataFrame:
+    """Prediction +- the (1 - alpha) quantile of the absolute errors of all other seasons.
+
+    Every row is predicted and every row with an ``error`` calibrates, but never its own
+    season.  NULL interval where no other season has an error.
+    """
+    # one row per season
+    seasons = sorted(r[0] for r in df.select(F.col(season).cast("int")).distinct().collect() if r[0] is not None)
+    errors = df.select(F.col(season).cast("int").alias("_s"), F.abs(error).alias("_e"))
+    widths = complement_percentiles(errors, "_s", seasons, {"_w": ("_e", 1.0 - alpha)})
+    return (
+        df.join(widths, F.col(season).cast("int") == F.col("_s"), "left")
+        .withColumns({f"{pred}_lower": F.col(pred) - F.col("_w"), f"{pred}_upper": F.col(pred) + F.col("_w")})
+        .drop("_s", "_w")
+    )
+
+
 # ---------------------------------------------------------------- ridge calibrator
 
 

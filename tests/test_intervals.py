@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from seasontide.operators import intervals as I
 from seasontide.operators import models as M
+from seasontide.plans import adapters as A
+from seasontide.plans import catalog  # noqa: F401
+from seasontide.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -97,3 +100,18 @@ def test_audit_sees_every_step(rows):
     assert found == want and sum(v[1] for v in want.values()) > 0
     flat = M.monotone_audit(model, known, "a", ["a", "b"], grid=[1.0]).collect()
     assert all(r.n_violations == 0 and r.n_values == 1 for r in flat)
+
+
+def test_every_season_is_predicted_from_all_others(spark, sf):
+    rng = np.random.default_rng(8)
+    made = [(int(i % 4), float(i), None if i % 9 == 0 else float(rng.normal() * (1 + i % 4))) for i in range(200)]
+    rows = spark.createDataFrame([*made, (None, 1.0, 99.0)], "season long, pred double, error double").repartition(3)
+    got = {(r.season, r.pred): r for r in M.cross_conformal_interval(rows, "season", 0.2).collect()}
+    assert len(got) == 201 and got[(None, 1.0)].pred_lower is None
+    for season in range(4):
+        width = np.quantile([abs(e) for s, _, e in made if s != season and e is not None], 0.8)
+        for r in (r for (s, _), r in got.items() if s == season):
+            assert (r.pred_lower, r.pred_upper) == (pytest.approx(r.pred - width), pytest.approx(r.pred + width))
+    one = M.cross_conformal_interval(rows.where("season = 1"), "season", 0.2).first()
+    assert one.pred is not None and one.pred_lower is None
+    assert QUERIES["conformal_interval"].run(spark, sf).count() == A.trajectory(spark, sf).count()
