@@ -92,6 +92,7 @@ def mix(
     most: int = 2,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     keep: Sequence[str] = (),
+    seat: str | None = None,
 ) -> DataFrame:
     """Plan the mix: one row per document.
 
@@ -104,7 +105,8 @@ def mix(
 
     A null or empty text has size 0 and is taken 0 words, at its place. Rows that
     repeat an id are separate documents. An empty table gives no rows. Other
-    columns are left out unless named in ``keep``.
+    columns are left out unless named in ``keep``. ``seat`` names a column that
+    tells all documents apart: the place in the source's order.
 
     Running totals: a document's range of the digest is numbered by its leading
     digits, as many as the largest source needs, so that a hot source is split
@@ -133,11 +135,10 @@ def mix(
     )
     targets = source_targets(sizes, weights, percent, most).withColumnRenamed("source", "t")
     ranges = ranges.join(targets, F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    inside = (
-        Window.partitionBy("source", "range")
-        .orderBy("place", "doc_id", "text_place", "size")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    standing = Window.partitionBy("source", "range").orderBy("place", "doc_id", "text_place", "size")
+    inside = standing.rowsBetween(Window.unboundedPreceding, -1)
+    if seat is not None:
+        sizes = sizes.withColumn("number", F.row_number().over(standing))
     placed = sizes.withColumn("own", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))
     )
@@ -164,6 +165,7 @@ def mix(
         "target",
         taken.cast("long").alias("taken"),
         F.array_compact(F.array(*positions)).alias("positions"),
+        *([F.struct("rank", "range", "number").alias(seat)] if seat is not None else []),
     )
 
 
@@ -176,6 +178,27 @@ def reads(plan: DataFrame) -> DataFrame:
     return rows.withColumn("words", F.least("size", F.col("taken") - F.col("pass") * F.col("size"))).drop("pass")
 
 
+def training_order(plan: DataFrame, seat: str) -> DataFrame:
+    """All reads of a plan with seats, range-sorted by training time and stored.
+
+    One row per read: ``seat``, doc_id, size, source_size, target, its ``pass``, ``position``
+    and ``words``. Documents that the mix doesn't take have one row without a pass, ahead of all.
+    """
+    rows = plan.select("*", F.posexplode_outer("positions").alias("pass", "position")).drop("positions")
+    words = F.when(F.col("pass").isNull(), F.lit(0)).otherwise(
+        F.least("size", F.col("taken") - F.col("pass") * F.col("size"))
+    )
+    return stored(in_order(rows.withColumn("words", words).drop("taken"), "doc_id", seat), "order")
+
+
+def read_back(order: DataFrame, seat: str, most: int = 2) -> DataFrame:
+    """The plan as its stored training order has it: one row per document, ``positions`` by pass."""
+    at = [F.max(F.when(F.col("pass") == p, F.col("position"))) for p in range(most)]
+    return order.groupBy(seat, "doc_id", "size", "source_size", "target").agg(
+        F.sum("words").cast("long").alias("taken"), F.array_compact(F.array(*at)).alias("positions")
+    ).drop(seat)
+
+
 def in_order(rows: DataFrame, *ties: str) -> DataFrame:
     """Rows range-sorted by their training time; ties stand in the order of ``ties``."""
     return rows.repartitionByRange("position", *ties).sortWithinPartitions("position", *ties)

@@ -26,7 +26,8 @@ def op3_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf, "documents"))
+    plan = mixing.mix(table(spark, sf, "documents"), seat="seat")
+    mixed = mixing.read_back(mixing.training_order(plan, "seat"), "seat")
     position = lambda i: F.round(F.get("positions", F.lit(i)), 6)
     return mixed.withColumns({"position": position(0), "second_position": position(1)}).drop("positions")
 

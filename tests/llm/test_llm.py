@@ -233,6 +233,22 @@ def test_mix_targets_and_awkward(spark, odd, none):
     assert sorted(map(str, mixing.mix(odd.repartition(5)).collect())) == sorted(map(str, rows))
 
 
+def test_query_reads_the_range_sorted_order(spark, odd, none, sf, monkeypatch):
+    order = mixing.training_order(mixing.mix(odd, seat="seat"), "seat")
+    lines = order.select("*", "_metadata.file_path", "_metadata.row_index").collect()
+    lines.sort(key=lambda r: (r.file_path, r.row_index))
+    positions = [r.position for r in lines if r.position is not None]
+    assert len(positions) > 5 and positions == sorted(positions)
+    plan = mixing.mix(odd).collect()
+    assert len(lines) == sum(max(len(r.positions), 1) for r in plan)
+    assert sorted(map(str, mixing.read_back(order, "seat").select(*mixing.mix(odd).columns).collect())) == sorted(map(str, plan))
+    assert mixing.read_back(mixing.training_order(mixing.mix(none, seat="seat"), "seat"), "seat").count() == 0
+    sorts, plain = [], mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda *args: sorts.append(args) or plain(*args))
+    assert queries.op4_mix_sources(spark, sf).count() == common.table(spark, sf, "documents").count()
+    assert len(sorts) == 1
+
+
 def test_inverse_demand(spark):
     for points in mixing.SCHEDULES:
         u = np.linspace(0, 1, 100_001)
