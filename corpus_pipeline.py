@@ -39,7 +39,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.where("doc_id is not null")
     texts = named.select("doc_id", F.xxhash64("text").alias("_print"))
     several = texts.groupBy("doc_id").agg(F.min("_print").alias("a"), F.max("_print").alias("z")).where("a != z").select("doc_id")
-    several = several.select(F.col("doc_id").alias("_id"))
+    # stored, so that Spark sees how few they mostly are and moves no texts to look them up
+    several = stored(several.select(F.col("doc_id").alias("_id")), "several")
     name = F.when(F.col("_id").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "_print"))
     known = (
         named.select("doc_id", "text", F.xxhash64("text").alias("_print"))

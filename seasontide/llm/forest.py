@@ -186,25 +186,25 @@ def _neighbours(classes: DataFrame, begin: int = 0, end: int = TREES) -> DataFra
 
 
 def _regions(rows: DataFrame) -> DataFrame:
-    """Rows (tree, region, key, id, modal, size): each in the region of adaptive depth, regions of one too."""
-    groups = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n"))
+    """Rows (tree, region, key, id, modal, size): each in the region of adaptive depth, regions of one too.
+
+    Only prefixes with more than REGION members are looked up, a small table that Spark
+    can broadcast; a prefix of such a prefix has as many members at least, so their number gives the depth.
+    """
     prefix = lambda d: F.substring("key", 1, 4 * d)
-    depth = F.lit(DEPTH)
-    counted = groups
-    for d in range(DEPTH - 1, LEAST_DEPTH - 1, -1):
-        # sums of counts: one row per distinct key stands for all documents that share it
-        sums = groups.groupBy("tree", prefix(d).alias(f"p{d}")).agg(F.sum("n").alias(f"n{d}"))
-        counted = counted.withColumn(f"p{d}", prefix(d)).join(sums, ["tree", f"p{d}"])
-    for d in range(DEPTH - 1, LEAST_DEPTH - 1, -1):
-        depth = F.when(F.col(f"n{d}") <= REGION, F.lit(d)).otherwise(depth)
-    region = F.substring(F.col("key"), F.lit(1), depth * 4)
-    placed = counted.select("tree", "key", "n", region.alias("region"))
-    sizes = placed.groupBy("tree", "region").agg(F.sum("n").alias("size"), F.max_by("key", F.struct("n", "key")).alias("modal"))
-    placed = placed.join(sizes, ["tree", "region"])
-    return stored(
-        rows.select("tree", "key", "id").join(placed.select("tree", "key", "region", "modal", "size"), ["tree", "key"]),
-        "regions",
-    )
+    depths = range(LEAST_DEPTH, DEPTH)
+    counts = rows.select("tree", F.explode(F.array(*[prefix(d) for d in depths])).alias("prefix")).groupBy("tree", "prefix").count()
+    crowded = stored(counts.where(F.col("count") > REGION).select("tree", "prefix"), "crowded")
+    placed, depth = rows.select("tree", "key", "id"), F.lit(LEAST_DEPTH)
+    for d in depths:
+        named = crowded.where(F.length("prefix") == 4 * d).select("tree", F.col("prefix").alias(f"p{d}"), F.lit(1).alias(f"c{d}"))
+        placed = placed.withColumn(f"p{d}", prefix(d)).join(named, ["tree", f"p{d}"], "left")
+        depth = depth + F.coalesce(f"c{d}", F.lit(0))
+    placed = placed.select("tree", F.substring(F.col("key"), F.lit(1), depth * 4).alias("region"), "key", "id")
+    # sums of counts: one row per distinct key stands for all documents that share it
+    groups = placed.groupBy("tree", "region", "key").agg(F.count(F.lit(1)).alias("n"))
+    sizes = groups.groupBy("tree", "region").agg(F.max_by("key", F.struct("n", "key")).alias("modal"), F.sum("n").alias("size"))
+    return stored(placed.join(sizes, ["tree", "region"]), "regions")
 
 
 def _pairs(rows: DataFrame, regions: DataFrame) -> DataFrame:
@@ -444,7 +444,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     active = _between(members, signatures, "signature", _judge_signatures(near)).select(F.col("a").alias("id")).distinct()
     rest = members.join(stored(active, "active"), "id", "left_semi")
     second = stored(_between(rest, sets, "shingles", _judge_sets(percent)), "links")
-    parts = components(first.union(second))
+    # the stars of the first round stand for its links
+    parts = components(parts.select(F.col("component").alias("a"), F.col("id").alias("b")).union(second))
 
     found = classes.select(*keys, "rep").join(parts.withColumnRenamed("id", "rep"), "rep", "left")
     found = found.select(*keys, F.coalesce("component", "rep").alias("component"))
