@@ -10,7 +10,10 @@ from seasontide.plans import model_queries as Q
 from seasontide.plans.registry import QUERIES
 
 #: Boosted fits of each query over the smallest tables: seasons with an earlier one, times the sets of inputs.
-FITS = {"ablate_base_groups": len(Q.FOLDS) * (1 + len(M.BASE_GROUPS))}
+FITS = {
+    "ablate_base_groups": len(Q.FOLDS) * (1 + len(M.BASE_GROUPS)),
+    "ablate_calibrator_groups": len(Q.FOLDS),
+}
 
 
 @pytest.fixture
