@@ -61,7 +61,7 @@ def _(spark, sf):
 
 @query("fit_boosted_trees", "F2")
 def _(spark, sf):
-    return fit_errors(spark, sf, small_gbt)
+    return fit_errors(spark, sf, M.fit_gbt)
 
 
 @query(

@@ -13,6 +13,7 @@ from seasontide.plans.registry import QUERIES
 FITS = {
     "ablate_base_groups": len(Q.FOLDS) * (1 + len(M.BASE_GROUPS)),
     "ablate_calibrator_groups": len(Q.FOLDS),
+    "fit_boosted_trees": 1,
 }
 
 
