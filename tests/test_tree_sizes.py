@@ -14,6 +14,7 @@ FITS = {
     "ablate_base_groups": len(Q.FOLDS) * (1 + len(M.BASE_GROUPS)),
     "ablate_calibrator_groups": len(Q.FOLDS),
     "fit_boosted_trees": 1,
+    "oof_trajectories": len(Q.FOLDS),
 }
 
 
