@@ -15,6 +15,8 @@ FITS = {
     "ablate_calibrator_groups": len(Q.FOLDS),
     "fit_boosted_trees": 1,
     "oof_trajectories": len(Q.FOLDS),
+    # of all rows before the test date, and of the seasons that start before it
+    "save_and_load_bundle": 1 + len([y for y in Q.FOLDS if f"{y}-01-01" < Q.TEST_DATE]),
 }
 
 
